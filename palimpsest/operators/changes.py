@@ -191,10 +191,11 @@ def flat_merged(rows: DataFrame, all_rows: bool = False) -> DataFrame:
     mark = F.array(F.struct(
         F.lit(-1).alias("ix"), F.lit(0).alias("op"), F.lit(None).cast(a_type).alias("a"),
         F.lit(None).cast(b_type).alias("b"), F.lit(True).alias("ws_only"), F.lit(None).cast("string").alias("fmt")))
+    extra = ["clause"] if "clause" in rows.columns else []
     t = src.select(
-        *PR, "sec", F.col("kind").alias("rkind"), "move_row", "move_to", "block_desc",
+        *PR, "sec", F.col("kind").alias("rkind"), "move_row", "move_to", "block_desc", *extra,
         F.explode(F.when(note, F.concat(mark, entries)).otherwise(entries)).alias("m")) \
-        .select(*PR, "sec", "rkind", "move_row", "move_to", "block_desc", "m.*")
+        .select(*PR, "sec", "rkind", "move_row", "move_to", "block_desc", *extra, "m.*")
     t = format_segments(edit_segments(t))
     whole = F.col("rkind").isin("removed", "added", "moved-from", "moved-to")
     fseg = F.when(F.col("fmt").isNotNull() | _flag(F.col("a.ws")), F.col("fseg"))
@@ -219,37 +220,74 @@ def row_text(side: str) -> Column:
         F.coalesce(m[side]["t"], F.lit("")))), "")
 
 
+def _kind(note: Column, rkind: Column, edit: Column, d: Column, i: Column) -> Column:
+    return (F.when(note, "fmt").when(rkind == "removed", "del").when(rkind == "added", "ins")
+            .when(rkind == "moved-from", "move")
+            .when(edit & d & i, "mod").when(edit & d, "del").when(edit, "ins").otherwise("fmt"))
+
+
+def _desc(kind: Column, note: Column, block_desc: Column, move_to: Column, sig: Column) -> Column:
+    null = lambda t: F.lit(None).cast(t)
+    made = lambda k, n, sg: F.struct(
+        F.lit(k).alias("k"), null("string").alias("a"), null("string").alias("b"), n.cast("int").alias("n"),
+        sg.cast("string").alias("sig")).cast(DESC)
+    return (F.when(note, block_desc).when(kind == "move", made("move", move_to, null("string")))
+            .when(kind == "fmt", made("fmt", null("int"), sig)))
+
+
 def list_changes(flat: DataFrame) -> DataFrame:
     """changes(pair_id, cid, sec, kind, row, row2, at, before, after, desc) of ``flat_merged``."""
-    whole = F.col("rkind").isin("removed", "added", "moved-from", "moved-to")
-    edit = F.col("seg").isNotNull()
-    moved_to = F.col("rkind") == "moved-to"
-    g = flat.filter(F.col("at").isNotNull() & ~moved_to).groupBy("pair_id", "cid").agg(
-        F.first("sec").alias("sec"), F.first("row").alias("row"), F.first("rkind").alias("rkind"),
-        F.first("at").alias("at"), F.first("move_row").alias("move_row"), F.first("move_to").alias("move_to"),
-        F.first("block_desc").alias("block_desc"), F.max("fmt").alias("sig"), F.bool_or(edit).alias("edit"),
+    g = flat.filter(F.col("at").isNotNull() & (F.col("rkind") != "moved-to")).groupBy("pair_id", "cid").agg(
+        *[F.first(c).alias(c) for c in ("sec", "row", "rkind", "at", "move_row", "move_to", "block_desc")],
+        F.max("fmt").alias("sig"), F.bool_or(F.col("seg").isNotNull()).alias("edit"),
         F.bool_or(F.col("op") == -1).alias("d"), F.bool_or(F.col("op") == 1).alias("i"),
         side_text("a").alias("ta"), side_text("b").alias("tb"))
-    w = F.col("rkind").isin("removed", "added", "moved-from")
-    edit = F.col("edit") & ~w
+    return _change_columns(g)
+
+
+def _change_columns(g: DataFrame, *more: str) -> DataFrame:
     note = F.col("at") == -1
-    kind = (F.when(note, "fmt").when(F.col("rkind") == "removed", "del").when(F.col("rkind") == "added", "ins")
-            .when(F.col("rkind") == "moved-from", "move")
-            .when(edit & F.col("d") & F.col("i"), "mod").when(edit & F.col("d"), "del").when(edit, "ins")
-            .otherwise("fmt"))
-    null = lambda t: F.lit(None).cast(t)
-    desc = lambda k, n, sig: F.struct(
-        F.lit(k).alias("k"), null("string").alias("a"), null("string").alias("b"), n.cast("int").alias("n"),
-        sig.cast("string").alias("sig")).cast(DESC)
-    out_desc = (F.when(note, F.col("block_desc"))
-                .when(kind == "move", desc("move", F.col("move_to"), null("string")))
-                .when(kind == "fmt", desc("fmt", null("int"), F.col("sig"))))
+    w = F.col("rkind").isin("removed", "added", "moved-from")
+    kind = _kind(note, F.col("rkind"), F.col("edit") & ~w, F.col("d"), F.col("i"))
     before = F.when(kind == "fmt", F.col("tb")).when(kind == "ins", F.when(w, F.col("ta")).otherwise("")) \
         .otherwise(F.col("ta"))
     after = F.when(kind.isin("mod", "ins"), F.col("tb")).otherwise("")
-    return g.select("pair_id", "cid", "sec", kind.alias("kind"), "row",
-                    F.when(kind == "move", F.col("move_row")).alias("row2"), "at",
-                    before.alias("before"), after.alias("after"), out_desc.alias("desc"))
+    return g.select(
+        "pair_id", "cid", "sec", kind.alias("kind"), "row", F.when(kind == "move", F.col("move_row")).alias("row2"), "at",
+        before.alias("before"), after.alias("after"),
+        _desc(kind, note, F.col("block_desc"), F.col("move_to"), F.col("sig")).alias("desc"), *more)
+
+
+def changes_in_context(flat: DataFrame) -> DataFrame:
+    """``list_changes`` plus the row's text on each side and the span of the change in it: a, a_start,
+    a_end, b, b_start, b_end; a clause column is passed on. One grouping by row, no join."""
+    w = Window.partitionBy(*PR).orderBy("ix").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*PR, "at")
+    t = flat
+    for s in ("a", "b"):
+        tok = F.col(s)
+        shown = tok.isNotNull() & ~_flag(tok["psep"]) & (F.col("ix") >= 0)
+        piece = F.when(shown, F.when(_flag(tok["sep"]), F.lit(" | ")).otherwise(tok["t"])).otherwise("")
+        t = t.withColumn(f"_{s}", piece).withColumn(f"_{s}e", F.sum(F.length(f"_{s}")).over(w))
+        mine = shown & (F.col("op") != 0)
+        t = t.withColumn(f"{s}_start", F.coalesce(F.min(F.when(mine, F.col(f"_{s}e") - F.length(f"_{s}"))).over(own), F.lit(0)))
+        t = t.withColumn(f"{s}_end", F.coalesce(F.max(F.when(mine, F.col(f"_{s}e"))).over(own), F.lit(0)))
+    t = t.withColumn("sig", F.max("fmt").over(own)).withColumn("d", F.max(F.col("op") == -1).over(own)) \
+        .withColumn("i", F.max(F.col("op") == 1).over(own)).withColumn("edit", F.col("seg").isNotNull())
+    keep = ["cid", "sec", "rkind", "at", "move_row", "move_to", "block_desc", "sig", "d", "i", "edit",
+            "a_start", "a_end", "b_start", "b_end"] + [c for c in ("clause",) if c in flat.columns]
+    head = F.col("at").isNotNull() & (F.col("ix") == F.col("at")) & (F.col("rkind") != "moved-to")
+    piece = F.struct("ix", "at", F.col("_a").alias("a"), F.col("_b").alias("b"))
+    g = t.groupBy(*PR).agg(F.array_sort(F.collect_list(piece)).alias("L"),
+                           F.collect_list(F.when(head, F.struct(*keep))).alias("H"))
+    txt = lambda lst, s: F.array_join(F.transform(lst, lambda x: x[s]), "")
+    g = g.withColumn("a", txt("L", "a")).withColumn("b", txt("L", "b"))
+    parts = F.transform("H", lambda h: F.struct(
+        h.alias("h"), txt(F.filter("L", lambda x: x["at"] == h["at"]), "a").alias("ta"),
+        txt(F.filter("L", lambda x: x["at"] == h["at"]), "b").alias("tb")))
+    g = g.select(*PR, "a", "b", F.explode(parts).alias("p")).select(*PR, "a", "b", "p.h.*", "p.ta", "p.tb")
+    more = ["a", "a_start", "a_end", "b", "b_start", "b_end"] + [c for c in ("clause",) if c in flat.columns]
+    return _change_columns(g, *more)
 
 
 def note_texts(changes: DataFrame, rows: DataFrame) -> DataFrame:

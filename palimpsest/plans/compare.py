@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators import align, changes as ch
+from palimpsest.operators import align, changes as ch, insight
 from palimpsest.operators.tokens import tokenize
-from palimpsest.options import CompareOptions
+from palimpsest.options import CompareOptions, RiskOptions
 
 
 def compare_stretches(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions) -> DataFrame:
@@ -43,3 +43,15 @@ def compare_changes(blocks_a: DataFrame, blocks_b: DataFrame,
                     o: CompareOptions = CompareOptions()) -> DataFrame:
     """changes(pair_id, cid, sec, kind, row, row2, at, before, after, desc) of all pairs."""
     return ch.list_changes(compare_merged(blocks_a, blocks_b, o))
+
+
+def compare_in_context(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = CompareOptions()) -> DataFrame:
+    """All changes with their clause and the text around them."""
+    rows = insight.with_clauses(compare_rows(blocks_a, blocks_b, o))
+    return ch.changes_in_context(ch.flat_merged(rows))
+
+
+def compare_risks(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = CompareOptions(),
+                  r: RiskOptions = RiskOptions()) -> DataFrame:
+    """risks(pair_id, cid, risk, kw, rank) of all pairs."""
+    return insight.detect_risks(compare_in_context(blocks_a, blocks_b, o), r)
