@@ -28,10 +28,11 @@ CONTEXT = 8
 
 def parse_zh_number(s: Column) -> Column:
     """十二 → 12, 三万五千 → 35000; null when another character occurs."""
+    table = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in (kv[0], float(kv[1]))])
+    digits, units, bigs = table(ZH_DIGIT), table(ZH_UNIT), table(ZH_BIG)
+
     def step(acc: Column, c: Column) -> Column:
-        digit = F.coalesce(*[F.when(c == k, float(v)) for k, v in ZH_DIGIT.items()])
-        unit = F.coalesce(*[F.when(c == k, float(v)) for k, v in ZH_UNIT.items()])
-        big = F.coalesce(*[F.when(c == k, float(v)) for k, v in ZH_BIG.items()])
+        digit, unit, big = F.try_element_at(digits, c), F.try_element_at(units, c), F.try_element_at(bigs, c)
         zero = F.lit(0.0)
         times = F.when(acc["num"] == 0, 1.0).otherwise(acc["num"])
         return F.struct(

@@ -246,8 +246,32 @@ def common_prefix(a: Column, b: Column) -> Column:
         .otherwise(acc))
 
 
-def common_suffix(a: Column, b: Column) -> Column:
-    return common_prefix(F.reverse(a), F.reverse(b))
+NAME_SEP = r"[-_ .·—–（）()\[\]【】]"
+
+
+def _on_boundary(name: Column, n: Column) -> Column:
+    """The largest length up to n at which the name may be cut: beside a separator, or 0."""
+    at = lambda k: F.substr(name, k, F.lit(1)).rlike(NAME_SEP)
+    ks = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    fit = F.filter(ks, lambda k: at(k) | (k == F.length(name)) | at(k + 1))
+    return F.coalesce(F.array_max(fit), F.lit(0))
+
+
+def pair_name(a_name: Column, b_name: Column) -> Column:
+    """STRUCT<common, a, b>: the shared part of two file names and what differs; null when there is no
+    shared part of two characters or a side has nothing of its own."""
+    a, b = stem_of(a_name), stem_of(b_name)
+    p0 = common_prefix(a, b)
+    tail = lambda x: F.reverse(F.substr(x, p0 + 1))
+    s0 = common_prefix(tail(a), tail(b))
+    p = F.least(_on_boundary(a, p0), _on_boundary(b, p0))
+    s = F.least(_on_boundary(F.reverse(a), s0), _on_boundary(F.reverse(b), s0))
+    strip = lambda x: F.regexp_replace(x, r"^[-_ .·—–]+|[-_ .·—–]+$", "")
+    pre, suf = strip(F.substr(a, F.lit(1), p)), strip(F.substr(a, F.length(a) - s + 1, s))
+    own = lambda x: strip(F.substr(x, p + 1, F.length(x) - s - p))
+    common = F.when((pre != "") & (suf != ""), F.concat(pre, F.lit("-"), suf)).otherwise(F.concat(pre, suf))
+    ok = (a != b) & (F.length(common) >= 2) & (own(a) != "") & (own(b) != "")
+    return F.when(ok, F.struct(common.alias("common"), own(a).alias("a"), own(b).alias("b")))
 
 
 def find_hits(text: Column, needle: str) -> Column:

@@ -74,9 +74,11 @@ def detect_risks(changes: DataFrame, o: RiskOptions = RiskOptions()) -> DataFram
     if o.money:
         risk = F.when(mod, risk).otherwise(N.new_amount_risk(F.col("_amt"), F.col("kind") == "del"))
     kw = N._risk("kw", "kw")
-    c = c.withColumn("risk", F.coalesce(risk, F.when(F.size("kw") > 0, kw)))
+    found = F.filter(F.array(F.coalesce(risk, F.when(F.size("kw") > 0, kw))), lambda r: r.isNotNull())
+    # Exploding instead of filtering keeps the optimizer from computing the risk a second time.
+    c = c.select("pair_id", "cid", "kw", F.explode(found).alias("risk"))
     rank = F.when(F.col("risk.cat") == "money", 0).when(F.col("risk.cat").isin("date", "term"), 1).otherwise(2)
-    return c.filter(F.col("risk").isNotNull()).select("pair_id", "cid", "risk", "kw", rank.alias("rank"))
+    return c.select("pair_id", "cid", "risk", "kw", rank.alias("rank"))
 
 
 def risk_order(risks: DataFrame) -> DataFrame:

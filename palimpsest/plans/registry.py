@@ -1,6 +1,7 @@
 """Imports every query module, so that the registry is complete."""
 
-from palimpsest.plans import queries_align, queries_comments, queries_insight, queries_library  # noqa: F401
+from palimpsest.plans import (queries_align, queries_comments, queries_functions,  # noqa: F401
+                              queries_insight, queries_layout, queries_library)
 from palimpsest.plans.catalog import ORACLE, QUERIES
 
 FLAGSHIP = "ag1_change_counts"
