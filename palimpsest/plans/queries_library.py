@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import fingerprint as fp, library as lib
 from palimpsest.options import MATCH_MIN, TIE_GAP
+from palimpsest.plans import revisions
 from palimpsest.plans.catalog import Tables, query
 from palimpsest.plans.inputs import WS_SQL, cte, iso, iso_sql, lines, q, with_
 
@@ -54,6 +55,17 @@ def _(t: Tables) -> DataFrame:
         .select("doc_id", "ver_id", F.round("score", 6).alias("score"))
 
 
+@query("revision_pairs", with_("overlap_scores", """SELECT DISTINCT least(doc_id, ver_id) AS doc_a, greatest(doc_id, ver_id) AS doc_b FROM (SELECT *, row_number() OVER (
+    PARTITION BY doc_id ORDER BY score DESC, ver_id) AS k FROM overlap_scores WHERE score >= 0.5) WHERE k = 1"""))
+def _(t: Tables) -> DataFrame:
+    return revisions.revision_pairs(t.documents).select("doc_a", "doc_b")
+
+
+@query("revision_changes")
+def _(t: Tables) -> DataFrame:
+    return revisions.revision_changes(t.documents)
+
+
 @query("set2_fingerprint_intersection", with_("ph", """SELECT a.doc_id, count(b.h) AS common FROM ph a
     LEFT JOIN (SELECT doc_id - 1 AS doc_id, h FROM ph) b ON a.doc_id = b.doc_id AND a.h = b.h GROUP BY a.doc_id"""))
 def _(t: Tables) -> DataFrame:
