@@ -15,7 +15,7 @@ from palimpsest.options import NO_SPLIT_ABOVE, POSITIONAL_ABOVE, CompareOptions
 from palimpsest.schema import sec_ord
 
 PS = ["pair_id", "sec"]
-BLOCK = ["pos", "kind", "level", "align", "toks", "bkey", "key_len"]
+BLOCK = ["pos", "kind", "level", "align", "cells", "bkey", "key_len"]
 
 
 def with_pairs(blocks: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
@@ -25,7 +25,7 @@ def with_pairs(blocks: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
 
 
 def sections(a: DataFrame, b: DataFrame) -> DataFrame:
-    """sections(pair_id, sec, a, b): the tokenised blocks of both sides in reading order.
+    """sections(pair_id, sec, a, b): the prepared blocks of both sides in reading order.
 
     Both sides go through one shuffle together; everything after it stays hashed on pair_id.
     """
@@ -79,7 +79,7 @@ def pair_rows(stretches: DataFrame, o: CompareOptions) -> DataFrame:
     used exactly once. Only gaps with several blocks on a side reach the similarity kernel."""
     n, m = F.size("a"), F.size("b")
     ask = ~F.col("eq") & (n > 0) & (m > 0) & ~((n == 1) & (m == 1))
-    words = lambda c: F.when(ask, F.transform(c, lambda x: word_hashes(x["toks"])))
+    words = lambda c: F.when(ask, F.transform(c, lambda x: word_hashes(x["cells"], o)))
     kernel = K.gap_groups_split if o.merge_paras else K.gap_groups
     t = stretches.withColumn("g", kernel(words("a"), words("b")))
     none = F.slice("a", 1, 0)

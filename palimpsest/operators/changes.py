@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels as K
-from palimpsest.operators.tokens import join_parts, kind_id
+from palimpsest.operators.tokens import cell_tokens, join_parts, kind_id
 from palimpsest.options import CompareOptions
+from palimpsest.schema import TOKEN
 
 PR = ["pair_id", "row"]
 DESC = "struct<k:string,a:string,b:string,n:int,sig:string>"
@@ -58,32 +59,36 @@ def style_diff_sig(a: Column, b: Column) -> Column:
 
 # ---- merged tokens --------------------------------------------------------------------------------
 
-def merge_tokens(rows: DataFrame, o: CompareOptions) -> DataFrame:
+def merge_tokens(rows: DataFrame, o: CompareOptions, equal_rows: bool = True) -> DataFrame:
     """Adds ``merged`` to rows: ARRAY<STRUCT<op, a, b, ws_only, fmt>>, the edit script of the row.
 
-    Rows whose keys are equal token by token are zipped in the JVM; the alignment kernel sees only
-    the others, as 8-byte keys.
+    Tokens are built here, for the rows that need them: without ``equal_rows`` (and without formatting)
+    unchanged rows get an empty script. Rows whose keys are equal token by token are zipped in the JVM; the
+    alignment kernel sees only the others, as 8-byte keys.
     """
-    t = rows.withColumn("at", join_parts(F.transform("a", lambda x: x["toks"]))) \
-        .withColumn("bt", join_parts(F.transform("b", lambda x: x["toks"])))
-    keys = lambda c: F.transform(c, lambda x: F.xxhash64(x["key"]))
+    toks = lambda c: join_parts(F.transform(c, lambda x: cell_tokens(x["cells"], o)))
+    if not equal_rows and not o.formatting:
+        toks = lambda c, f=toks: F.when(F.col("kind") != "equal", f(c)).otherwise(F.array().cast(f"array<{TOKEN}>"))
+    t = rows.withColumn("at", toks("a")).withColumn("bt", toks("b"))
+    keys = lambda c: F.transform(c, lambda x: x["key"])
     zipped = (F.size("at") == F.size("bt")) & (keys("at") == keys("bt"))
-    easy = zipped | (F.size("at") == 0) | (F.size("bt") == 0)
-    ask = lambda c: F.when(~easy, c)
+    one_sided = (F.size("at") == 0) | (F.size("bt") == 0)
     info = lambda c: F.transform(c, lambda x: (
         F.length(x["t"]) * 4 + x["ws"].cast("int") + 2 * x["sep"].cast("int")).cast("int"))
+    t = t.withColumn("way", F.when(zipped, 0).when(one_sided, 1).otherwise(2))
+    ask = lambda c: F.when(F.col("way") == 2, c)
     t = t.withColumn("sc", K.token_script(
         ask(keys("at")), ask(keys("bt")), ask(info("at")), ask(info("bt"))))
     null = F.lit(None).cast("int")
     step = lambda op, i, j: F.struct(
         F.lit(op).cast("int").alias("op"), i.cast("int").alias("a"), j.cast("int").alias("b"))
-    script = (F.when(zipped, F.transform("at", lambda x, i: step(0, i, i)))
-              .when(easy, F.concat(F.transform("at", lambda x, i: step(-1, i, null)),
-                                   F.transform("bt", lambda x, i: step(1, null, i))))
+    script = (F.when(F.col("way") == 0, F.transform("at", lambda x, i: step(0, i, i)))
+              .when(F.col("way") == 1, F.concat(F.transform("at", lambda x, i: step(-1, i, null)),
+                                                F.transform("bt", lambda x, i: step(1, null, i))))
               .otherwise(F.col("sc")))
     merged = F.transform(script, lambda m: _merged_token(
         m["op"], F.try_element_at("at", m["a"] + 1), F.try_element_at("bt", m["b"] + 1), F.col("kind"), o))
-    return t.withColumn("merged", merged).drop("at", "bt", "sc")
+    return t.withColumn("merged", merged).drop("at", "bt", "sc", "way")
 
 
 def _merged_token(op: Column, a: Column, b: Column, kind: Column, o: CompareOptions) -> Column:

@@ -29,8 +29,7 @@ def row_clauses(rows: DataFrame) -> DataFrame:
 def with_clauses(rows: DataFrame) -> DataFrame:
     """Compared rows with their ``clause``: the block of side b names it, else that of side a."""
     blk = F.coalesce(F.try_element_at("b", F.lit(1)), F.try_element_at("a", F.lit(1)))
-    text = F.array_join(F.transform(blk["toks"], lambda t: F.when(t["sep"], F.lit("\t")).otherwise(t["t"])), "")
-    return row_clauses(rows.withColumn("blk_kind", blk["kind"]).withColumn("text", text)).drop("blk_kind", "text")
+    return row_clauses(rows.withColumn("blk_kind", blk["kind"]).withColumn("text", block_text(blk["cells"]))).drop("blk_kind", "text")
 
 
 def group_changes(changes: DataFrame, by: list[str], title: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Blocks to tokens: token arrays, block keys and the empty-block filter."""
+"""Blocks and tokens: block keys, the empty-block filter and token arrays."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.options import CompareOptions
-from palimpsest.schema import CELLS, RUN, TOKEN, run
+from palimpsest.schema import CELLS, STYLE, TOKEN, run
 
 
 def plain_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -31,20 +31,32 @@ def kind_id(kind: Column, level: Column) -> Column:
 
 def _tok(t: Column, key: Column, ws: Column, sep: bool, psep: bool, cell: Column, st: Column) -> Column:
     return F.struct(
-        t.alias("t"), key.alias("key"), ws.alias("ws"), F.lit(sep).alias("sep"),
-        F.lit(psep).alias("psep"), cell.cast("int").alias("c"), F.lit(0).alias("blk"),
-        st.cast(RUN).alias("st"))
+        t.alias("t"), F.xxhash64(key).alias("key"), ws.alias("ws"), F.lit(sep).alias("sep"),
+        F.lit(psep).alias("psep"), cell.cast("int").alias("c"), F.lit(0).alias("blk"), st.cast(STYLE).alias("st"))
+
+
+def _style(r: Column) -> Column:
+    return F.struct(*[r[f].alias(f) for f in ("b", "i", "u", "s", "sz", "color", "hl", "font")])
+
+
+def _parts(t: Column, o: CompareOptions) -> Column:
+    return (T.char_tokens if o.precision == "char" else T.word_tokens)(F.coalesce(t, F.lit("")))
+
+
+def compared_cells(cells: Column, kind: Column) -> Column:
+    """A block that is no table row has one cell."""
+    return F.when(kind == "tr", cells).otherwise(F.slice(cells, 1, 1))
 
 
 def cell_tokens(cells: Column, o: CompareOptions) -> Column:
-    """ARRAY of tokens over all cells; a marker token stands between two cells."""
-    none = F.lit(None).cast(RUN)
-    cut = T.char_tokens if o.precision == "char" else T.word_tokens
+    """ARRAY of tokens over all cells; a marker token stands between two cells. Keys are 64-bit; styles
+    are carried only when formatting is compared."""
+    none = F.lit(None).cast(STYLE)
 
     def of_run(r: Column, ci: Column) -> Column:
-        img = F.array(_tok(r["t"], F.concat(F.lit(T.IMG_KEY), r["img"]), F.lit(False), False, False, ci, r))
-        words = F.transform(cut(F.coalesce(r["t"], F.lit(""))),
-                            lambda t: _tok(t, T.norm_key(t, o), T.is_ws(t), False, False, ci, r))
+        st = _style(r) if o.formatting else none
+        img = F.array(_tok(r["t"], F.concat(F.lit(T.IMG_KEY), r["img"]), F.lit(False), False, False, ci, st))
+        words = F.transform(_parts(r["t"], o), lambda t: _tok(t, T.norm_key(t, o), T.is_ws(t), False, False, ci, st))
         return F.when(r["img"].isNotNull(), img).otherwise(words)
 
     def of_cell(rs: Column, ci: Column) -> Column:
@@ -55,46 +67,73 @@ def cell_tokens(cells: Column, o: CompareOptions) -> Column:
     return F.flatten(F.transform(cells, of_cell)).cast(f"array<{TOKEN}>")
 
 
-def block_key(toks: Column, kind: Column, o: CompareOptions) -> Column:
-    kept = F.filter(toks, lambda t: ~t["ws"]) if o.ignore_ws else toks
-    body = F.array_join(F.transform(kept, lambda t: t["key"]), "")
-    if o.ignore_ws:
-        body = T.trim_ws(body)
+def token_keys(cells: Column, o: CompareOptions) -> Column:
+    """The key texts of the tokens of ``cell_tokens``."""
+    def of_run(r: Column) -> Column:
+        return F.when(r["img"].isNotNull(), F.array(F.concat(F.lit(T.IMG_KEY), r["img"]))).otherwise(
+            F.transform(_parts(r["t"], o), lambda t: T.norm_key(t, o)))
+
+    def of_cell(rs: Column, ci: Column) -> Column:
+        body = F.flatten(F.transform(rs, of_run))
+        return F.when(ci > 0, F.concat(F.array(F.lit(T.CELL_KEY)), body)).otherwise(body)
+
+    return F.flatten(F.transform(cells, of_cell))
+
+
+def block_key(cells: Column, kind: Column, o: CompareOptions) -> Column:
+    """The form under which whole blocks are compared: the token keys in a row, white space left out if
+    it is ignored. Only folding of punctuation looks at single tokens; otherwise no token is built."""
+    if o.norm_punct or not o.ignore_ws:
+        keys = token_keys(cells, o)
+        if o.ignore_ws:
+            keys = F.filter(keys, lambda k: k != " ")
+        body = F.array_join(keys, "")
+    else:
+        def of_run(r: Column) -> Column:
+            t = F.coalesce(r["t"], F.lit(""))
+            t = T.fold_quotes(t) if o.norm_quotes else t
+            t = F.lower(t) if o.ignore_case else t
+            return F.when(r["img"].isNotNull(), F.concat(F.lit(T.IMG_KEY), r["img"])).otherwise(T.strip_ws(t))
+
+        body = F.array_join(F.transform(cells, lambda rs: F.array_join(F.transform(rs, of_run), "")), T.CELL_KEY)
     return F.concat(F.when(kind == "tr", F.lit("T|")).otherwise(""), body)
 
 
-def has_content(toks: Column) -> Column:
-    return F.exists(toks, lambda t: ~t["ws"] & ~t["sep"])
+def has_content(cells: Column) -> Column:
+    return F.exists(cells, lambda rs: F.exists(rs, lambda r: r["img"].isNotNull() | F.coalesce(
+        r["t"].rlike(rf"[^{T.WS}]"), F.lit(False))))
 
 
-def tokenize(blocks: DataFrame, o: CompareOptions) -> DataFrame:
-    """Adds ``toks``, ``bkey`` (64-bit block key) and ``key_len`` (its visible length).
+def prepare(blocks: DataFrame, o: CompareOptions) -> DataFrame:
+    """Adds ``bkey`` (64-bit block key) and ``key_len`` (its visible length); no token is built yet.
 
     Empty blocks are dropped here, before any shuffle, unless the options keep them.
     """
-    cells = F.when(F.col("kind") == "tr", F.col("cells")).otherwise(F.slice("cells", 1, 1))
-    out = blocks.withColumn("toks", cell_tokens(cells, o))
+    out = blocks.withColumn("cells", compared_cells(F.col("cells"), F.col("kind")))
     if not o.keep_empty:
-        out = out.filter(has_content(F.col("toks")))
-    key = block_key(F.col("toks"), F.col("kind"), o)
-    return (out.withColumn("_key", key)
+        out = out.filter(has_content(F.col("cells")))
+    return (out.withColumn("_key", block_key(F.col("cells"), F.col("kind"), o))
             .withColumn("bkey", F.xxhash64("_key"))
             .withColumn("key_len", F.length(T.strip_ws(F.col("_key"))))
             .drop("_key"))
 
 
-def word_hashes(toks: Column) -> Column:
+def word_hashes(cells: Column, o: CompareOptions) -> Column:
     """64-bit keys of the tokens that count for similarity."""
-    return F.transform(F.filter(toks, lambda t: ~t["ws"] & ~t["sep"]), lambda t: F.xxhash64(t["key"]))
+    def of_run(r: Column) -> Column:
+        words = F.transform(F.filter(_parts(r["t"], o), lambda t: ~T.is_ws(t)), lambda t: F.xxhash64(T.norm_key(t, o)))
+        return F.when(r["img"].isNotNull(), F.array(F.xxhash64(F.concat(F.lit(T.IMG_KEY), r["img"])))).otherwise(words)
+
+    return F.flatten(F.transform(cells, lambda rs: F.flatten(F.transform(rs, of_run))))
 
 
 def join_parts(parts: Column) -> Column:
     """Tokens of several blocks as one sequence with a virtual blank between the blocks."""
-    none = F.lit(None).cast(RUN)
+    none = F.lit(None).cast(STYLE)
 
     def part(toks: Column, k: Column) -> Column:
         gap = F.array(F.struct(
-            F.lit("").alias("t"), F.lit(" ").alias("key"), F.lit(True).alias("ws"),
+            F.lit("").alias("t"), F.xxhash64(F.lit(" ")).alias("key"), F.lit(True).alias("ws"),
             F.lit(False).alias("sep"), F.lit(True).alias("psep"), F.lit(0).alias("c"),
             k.cast("int").alias("blk"), none.alias("st")))
         own = F.transform(toks, lambda t: F.struct(

@@ -68,16 +68,13 @@ CELLS_SQL = f"""SELECT doc_id, pos, list_reduce(list_transform(string_split(line
       ELSE {quotes_sql('x')} END), '~') AS keys FROM ({CELLS_SQL})"""))
 def _(t: Tables) -> DataFrame:
     b = blocks(lines(t)).filter("kind = 'tr'")
-    toks = tk.cell_tokens(F.col("cells"), O)
-    return b.select(F.col("pair_id").alias("doc_id"), "pos",
-                    F.array_join(F.transform(toks, lambda x: x["key"]), "~").alias("keys"))
+    return b.select(F.col("pair_id").alias("doc_id"), "pos", F.array_join(tk.token_keys(F.col("cells"), O), "~").alias("keys"))
 
 
 @query("prj1_nonempty_blocks", with_("lines", f"""SELECT doc_id, count(*) AS n FROM lines
     WHERE regexp_matches(replace(line, ' | ', ''), {q('[^' + T.WS + ']')}) GROUP BY doc_id"""))
 def _(t: Tables) -> DataFrame:
-    b = blocks(lines(t)).withColumn("toks", tk.cell_tokens(F.col("cells"), O))
-    return b.filter(tk.has_content(F.col("toks"))).groupBy(F.col("pair_id").alias("doc_id")).agg(F.count("*").alias("n"))
+    return blocks(lines(t)).filter(tk.has_content(F.col("cells"))).groupBy(F.col("pair_id").alias("doc_id")).agg(F.count("*").alias("n"))
 
 
 BKEY_SQL = f"""CASE WHEN contains(line, ' | ') THEN 'T|' ELSE '' END || regexp_replace(
@@ -86,9 +83,8 @@ BKEY_SQL = f"""CASE WHEN contains(line, ' | ') THEN 'T|' ELSE '' END || regexp_r
 
 @query("prj2_block_keys", with_("lines", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5({BKEY_SQL}) AS k FROM lines"))
 def _(t: Tables) -> DataFrame:
-    toks = tk.cell_tokens(F.col("cells"), O)
     return blocks(lines(t)).select(F.col("pair_id").alias("doc_id"), "pos",
-                                   F.md5(tk.block_key(toks, F.col("kind"), O)).alias("k"))
+                                   F.md5(tk.block_key(F.col("cells"), F.col("kind"), O)).alias("k"))
 
 
 # ---- alignment ------------------------------------------------------------------------------------
@@ -182,7 +178,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("jn8_token_scripts")
 def _(t: Tables) -> DataFrame:
-    rows = cp.compare_rows(*_ab(t), O).filter("kind = 'modified'")
+    rows = cp.compare_rows(*_ab(t), O, equal_rows=False).filter("kind = 'modified'")
     return rows.select("pair_id", "row", F.posexplode("merged").alias("ix", "m")).select(
         "pair_id", "row", "ix", "m.op", F.col("m.a.t").alias("a_text"), F.col("m.b.t").alias("b_text"), "m.ws_only")
 
@@ -271,14 +267,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("wn5_settled_rows")
 def _(t: Tables) -> DataFrame:
-    return align.row_lists(cp.compare_rows(*_ab(t), O)).select("pair_id", "row", "kind", "move_row")
+    return align.row_lists(cp.compare_rows(*_ab(t), O, equal_rows=False)).select("pair_id", "row", "kind", "move_row")
 
 
 @query("wn7_cleaned_scripts")
 def _(t: Tables) -> DataFrame:
     """Character mode makes short equal islands frequent; what is left of them is counted per row."""
     o = CompareOptions(formatting=False, precision="char")
-    rows = cp.compare_rows(*_ab(t), o).filter("kind = 'modified'")
+    rows = cp.compare_rows(*_ab(t), o, equal_rows=False).filter("kind = 'modified'")
     return rows.select("pair_id", "row", F.size("merged").alias("n"),
                        F.size(F.filter("merged", lambda m: m["op"] == 0)).alias("n_equal"))
 

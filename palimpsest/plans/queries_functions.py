@@ -322,7 +322,7 @@ def _(t: Tables) -> DataFrame:
 
 
 def _compared(t: Tables) -> tuple[DataFrame, DataFrame]:
-    rows = ins.with_clauses(cp.compare_rows(blocks(lines(t)), blocks(lines_b(t)), O))
+    rows = ins.with_clauses(cp.compare_rows(blocks(lines(t)), blocks(lines_b(t)), O, equal_rows=False))
     return rows, ch.flat_merged(rows)
 
 

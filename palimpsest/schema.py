@@ -10,7 +10,8 @@ from palimpsest.options import SECTIONS
 RUN = ("struct<t:string,b:boolean,i:boolean,u:boolean,s:boolean,sz:double,"
        "color:string,hl:string,font:string,img:string>")
 CELLS = f"array<array<{RUN}>>"
-TOKEN = f"struct<t:string,key:string,ws:boolean,sep:boolean,psep:boolean,c:int,blk:int,st:{RUN}>"
+STYLE = "struct<b:boolean,i:boolean,u:boolean,s:boolean,sz:double,color:string,hl:string,font:string>"
+TOKEN = f"struct<t:string,key:bigint,ws:boolean,sep:boolean,psep:boolean,c:int,blk:int,st:{STYLE}>"
 
 
 def sec_ord(sec: Column) -> Column:
