@@ -20,6 +20,8 @@ from palimpsest.options import (NO_SPLIT_ABOVE, PAIR_MIN_DICE, POSITIONAL_ABOVE,
 
 # Above this many matrix bits (256 MB) one side is halved first.
 MATRIX_BITS = 1 << 31
+# Up to this many counts two tables are compared in one array step.
+DENSE_CELLS = 1 << 20
 
 
 def _levels(a: list, b: list) -> list[int]:
@@ -149,6 +151,8 @@ def absorb_islands(runs: list[list], ia: list, ib: list) -> list[list]:
 
 def _common_counts(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
     """Multiset intersection sizes of all rows of two count tables."""
+    if ca.shape[0] * cb.shape[0] * ca.shape[1] <= DENSE_CELLS:
+        return np.minimum(ca[:, None, :], cb[None, :, :]).sum(axis=2)
     out = np.zeros((ca.shape[0], cb.shape[0]), dtype=np.int64)
     for col in np.flatnonzero(ca.any(axis=0) & cb.any(axis=0)):
         ra, rb = np.flatnonzero(ca[:, col]), np.flatnonzero(cb[:, col])
@@ -177,9 +181,13 @@ def pair_gap(a: list[list], b: list[list], split: bool) -> list[tuple[int, int,
     for row in a + b:
         for x in row:
             ids.setdefault(x, len(ids))
-    table = lambda rows: np.array(
-        [np.bincount([ids[x] for x in r], minlength=max(len(ids), 1)) if r
-         else np.zeros(max(len(ids), 1), dtype=np.int64) for r in rows])
+    width = max(len(ids), 1)
+
+    def table(rows: list[list]) -> np.ndarray:
+        flat = [i * width + ids[x] for i, r in enumerate(rows) for x in r]
+        return np.bincount(flat, minlength=len(rows) * width).reshape(len(rows), width) if flat \
+            else np.zeros((len(rows), width), dtype=np.int64)
+
     ca, cb = table(a), table(b)
     na, nb = ca.sum(axis=1), cb.sum(axis=1)
     common = _common_counts(ca, cb)

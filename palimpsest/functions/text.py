@@ -21,6 +21,10 @@ CJK_WORD = (r"\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}"
 CJK_OCR = r"\x{3000}-\x{303f}\x{3400}-\x{9fff}\x{ff00}-\x{ffef}"
 WORD_RE = rf"[{CJK_TOKEN}]|[\p{{L}}\p{{N}}_]+(?:['’]\p{{L}}+)*|[{WS}]+|[^{WS}]"
 CHAR_RE = rf"(?s)[{WS}]+|."
+# The same tokens without those of white space (the ideographic space lies in the CJK class).
+SOLID_WORD_RE = rf"[{CJK_TOKEN}&&[^{WS}]]|[\p{{L}}\p{{N}}_]+(?:['’]\p{{L}}+)*|[^{WS}]"
+SOLID_CHAR_RE = rf"(?s)[^{WS}]"
+WS_CHARS = "\t\n\x0b\f\r \xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 # Wide punctuation and its narrow form, position by position; the ellipsis widens to three dots.
 PUNCT_WIDE = "，。、：；！？（）【】《》“”‘’「」『』～—–－\u3000"
 PUNCT_NARROW = ",.,:;!?()[]<>\"\"''\"\"\"\"~--- "
@@ -48,6 +52,11 @@ def is_ws(t: Column) -> Column:
     return t.rlike(rf"^[{WS}]+$")
 
 
+def is_ws_token(t: Column) -> Column:
+    """``is_ws`` for a token: tokens hold either white space only or none, so one character tells."""
+    return F.contains(F.lit(WS_CHARS), F.substring(t, 1, 1))
+
+
 def strip_ws(text: Column) -> Column:
     return F.regexp_replace(text, rf"[{WS}]+", "")
 
@@ -83,20 +92,17 @@ def fold_quotes(t: Column) -> Column:
                        "'" * len(QUOTES_SINGLE) + '"' * len(QUOTES_DOUBLE))
 
 
+def word_key(t: Column, o: CompareOptions) -> Column:
+    """``norm_key`` of a token that is not white space."""
+    k = fold_punct(t) if o.norm_punct else t
+    k = fold_quotes(k) if o.norm_quotes else k
+    return F.lower(k) if o.ignore_case else k
+
+
 def norm_key(t: Column, o: CompareOptions) -> Column:
     """The form of a token under which it is compared."""
-    k = t
-    if o.norm_punct:
-        k = fold_punct(k)
-    if o.norm_quotes:
-        k = fold_quotes(k)
-    if o.ignore_case:
-        k = F.lower(k)
-    if o.ignore_ws:
-        k = F.when(is_ws(k), F.lit(" ")).otherwise(k)
-    else:
-        k = F.when(is_ws(k), F.translate(k, "\xa0", " ")).otherwise(k)
-    return k
+    k = word_key(t, o)
+    return F.when(is_ws_token(t), F.lit(" ") if o.ignore_ws else F.translate(k, "\xa0", " ")).otherwise(k)
 
 
 def fp_norm(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels as K
-from palimpsest.operators.tokens import cell_tokens, join_parts, kind_id
+from palimpsest.operators.tokens import kind_id, once, row_tokens
 from palimpsest.options import CompareOptions
 from palimpsest.schema import TOKEN
 
@@ -66,10 +66,13 @@ def merge_tokens(rows: DataFrame, o: CompareOptions, equal_rows: bool = True) ->
     unchanged rows get an empty script. Rows whose keys are equal token by token are zipped in the JVM; the
     alignment kernel sees only the others, as 8-byte keys.
     """
-    toks = lambda c: join_parts(F.transform(c, lambda x: cell_tokens(x["cells"], o)))
-    if not equal_rows and not o.formatting:
-        toks = lambda c, f=toks: F.when(F.col("kind") != "equal", f(c)).otherwise(F.array().cast(f"array<{TOKEN}>"))
-    t = rows.withColumn("at", toks("a")).withColumn("bt", toks("b"))
+    def toks(c: str) -> Column:
+        built = row_tokens(F.col(c), o)
+        if equal_rows or o.formatting:
+            return built
+        return F.when(F.col("kind") != "equal", built).otherwise(F.array().cast(f"array<{TOKEN}>"))
+
+    t = once(rows, at=toks("a"), bt=toks("b"))
     keys = lambda c: F.transform(c, lambda x: x["key"])
     zipped = (F.size("at") == F.size("bt")) & (keys("at") == keys("bt"))
     one_sided = (F.size("at") == 0) | (F.size("bt") == 0)
@@ -88,7 +91,7 @@ def merge_tokens(rows: DataFrame, o: CompareOptions, equal_rows: bool = True) ->
               .otherwise(F.col("sc")))
     merged = F.transform(script, lambda m: _merged_token(
         m["op"], F.try_element_at("at", m["a"] + 1), F.try_element_at("bt", m["b"] + 1), F.col("kind"), o))
-    return t.withColumn("merged", merged).drop("at", "bt", "sc", "way")
+    return once(t, merged=merged).drop("at", "bt", "sc", "way")
 
 
 def _merged_token(op: Column, a: Column, b: Column, kind: Column, o: CompareOptions) -> Column:
@@ -145,23 +148,31 @@ def settle_rows(rows: DataFrame) -> DataFrame:
 
 # ---- segments -------------------------------------------------------------------------------------
 
-def _bridge(member: Column, w: Window) -> Column:
-    return F.coalesce(F.lag(member).over(w), F.lit(False)) & F.coalesce(F.lead(member).over(w), F.lit(False))
+def _near(c: Column, w: Window, step: int) -> Column:
+    """The value of the entry just before (-1) or after (1), null if it is not in the table."""
+    move = F.lag if step < 0 else F.lead
+    return F.when(move("ix").over(w) == F.col("ix") + step, move(c).over(w))
+
+
+def _runs(t: DataFrame, w: Window, same_run: Column, member: Column, name: str) -> DataFrame:
+    """Adds ``name``: the first ix of the run of members an entry belongs to, else null."""
+    t = t.withColumn("_s", F.when(member & ~F.coalesce(same_run, F.lit(False)), F.col("ix")))
+    first = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return t.withColumn(name, F.when(member, first)).drop("_s")
 
 
 def edit_segments(merged: DataFrame) -> DataFrame:
     """Adds ``seg``: the first ix of the run of differing tokens a token belongs to, else null.
 
-    One equal white-space token between two differing tokens belongs to their run.
+    One equal white-space token between two differing tokens belongs to their run. Tokens in no run may be
+    missing from the table.
     """
     w = Window.partitionBy(*PR).orderBy("ix")
     blank = _flag(F.col("a.ws")) | _flag(F.col("b.ws"))
     t = merged.withColumn("_d", (F.col("op") != 0) & ~F.col("ws_only"))
-    t = t.withColumn("_m", F.col("_d") | ((F.col("op") == 0) & blank & _bridge(F.col("_d"), w)))
-    start = F.col("_m") & ~F.coalesce(F.lag("_m").over(w), F.lit(False))
-    t = t.withColumn("_s", F.when(start, F.col("ix")))
-    seg = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("seg", F.when(F.col("_m"), seg)).drop("_d", "_m", "_s")
+    between = _flag(_near("_d", w, -1)) & _flag(_near("_d", w, 1))
+    t = t.withColumn("_m", F.col("_d") | ((F.col("op") == 0) & blank & between))
+    return _runs(t, w, _near("_m", w, -1), F.col("_m"), "seg").drop("_d", "_m")
 
 
 def format_segments(merged: DataFrame) -> DataFrame:
@@ -171,26 +182,43 @@ def format_segments(merged: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy(*PR).orderBy("ix")
     blank = (F.col("op") == 0) & _flag(F.col("a.ws")) & F.col("fmt").isNull()
-    t = merged.withColumn("_sig", F.when(
-        blank & (F.lag("fmt").over(w) == F.lead("fmt").over(w)), F.lag("fmt").over(w)).otherwise(F.col("fmt")))
-    start = F.col("_sig").isNotNull() & ~F.coalesce(F.lag("_sig").over(w) == F.col("_sig"), F.lit(False))
-    t = t.withColumn("_s", F.when(start, F.col("ix")))
-    seg = F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("fseg", F.when(F.col("_sig").isNotNull(), seg)).drop("_sig", "_s")
+    before, after = _near("fmt", w, -1), _near("fmt", w, 1)
+    t = merged.withColumn("_sig", F.when(blank & (before == after), before).otherwise(F.col("fmt")))
+    return _runs(t, w, _near("_sig", w, -1) == F.col("_sig"), F.col("_sig").isNotNull(), "fseg").drop("_sig")
 
 
-def flat_merged(rows: DataFrame, all_rows: bool = False) -> DataFrame:
+def flat_merged(rows: DataFrame, all_rows: bool = False, edits_only: bool = False,
+                formats: bool = True) -> DataFrame:
     """merged(pair_id, row, ix, op, a, b, ws_only, fmt, at, cid, …): one line per edit-script entry
     of the changed rows, each with its change.
 
     ``at`` is where its change starts in the row; a block note is an entry of its own at -1. ``cid``
     numbers the changes of a pair in row order; the target of a move shares its source's number.
+    ``edits_only`` drops tokens that can belong to no change before anything is exploded or sorted;
+    without ``formats`` no format run is looked for.
     """
     note = F.col("block_desc").isNotNull()
     src = rows if all_rows else rows.filter((F.col("kind") != "equal"))
     entries = F.transform("merged", lambda m, i: F.struct(
         i.cast("int").alias("ix"), m["op"].alias("op"), m["a"].alias("a"), m["b"].alias("b"),
         m["ws_only"].alias("ws_only"), m["fmt"].alias("fmt")))
+    if edits_only:
+        whole = F.col("kind").isin("removed", "added", "moved-from", "moved-to")
+        live = lambda m: ((m["op"] != 0) & ~m["ws_only"]) | m["fmt"].isNotNull()
+        near = lambda i: F.coalesce(live(F.try_element_at("merged", i)), F.lit(False))
+        # Entry ix is element ix + 1; element 0 does not exist.
+        bridge = lambda m: (m["op"] == 0) & (_flag(m["a"]["ws"]) | _flag(m["b"]["ws"])) & (m["ix"] > 0) & \
+            near(F.greatest(m["ix"], F.lit(1))) & near(m["ix"] + 2)
+        entries = F.filter(entries, lambda m: live(m) | bridge(m))
+        # A row that is one change as a whole needs its text only: one entry instead of all tokens.
+        null = F.lit(None).cast(TOKEN)
+        text = lambda side: F.when(F.size(side) > 0, F.struct(
+            row_text(side).alias("t"), F.lit(0).alias("key"), F.lit(False).alias("ws"), F.lit(False).alias("sep"), F.lit(False).alias("psep"),
+            F.lit(0).alias("c"), F.lit(0).alias("blk"), F.lit(None).alias("st")).cast(TOKEN)).otherwise(null)
+        single = F.array(F.struct(
+            F.lit(0).alias("ix"), F.when(F.size("a") > 0, -1).otherwise(1).alias("op"), text("a").alias("a"), text("b").alias("b"),
+            F.lit(False).alias("ws_only"), F.lit(None).cast("string").alias("fmt")))
+        entries = F.when(whole, single).otherwise(entries)
     elem = rows.schema["merged"].dataType.elementType
     a_type, b_type = elem["a"].dataType, elem["b"].dataType
     mark = F.array(F.struct(
@@ -201,7 +229,8 @@ def flat_merged(rows: DataFrame, all_rows: bool = False) -> DataFrame:
         *PR, "sec", F.col("kind").alias("rkind"), "move_row", "move_to", "block_desc", *extra,
         F.explode(F.when(note, F.concat(mark, entries)).otherwise(entries)).alias("m")) \
         .select(*PR, "sec", "rkind", "move_row", "move_to", "block_desc", *extra, "m.*")
-    t = format_segments(edit_segments(t))
+    t = edit_segments(t)
+    t = format_segments(t) if formats else t.withColumn("fseg", F.lit(None).cast("int"))
     whole = F.col("rkind").isin("removed", "added", "moved-from", "moved-to")
     fseg = F.when(F.col("fmt").isNotNull() | _flag(F.col("a.ws")), F.col("fseg"))
     t = t.withColumn("at", F.when(F.col("ix") == -1, -1).when(whole, 0).otherwise(F.coalesce("seg", fseg)))

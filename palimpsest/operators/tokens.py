@@ -56,7 +56,7 @@ def cell_tokens(cells: Column, o: CompareOptions) -> Column:
     def of_run(r: Column, ci: Column) -> Column:
         st = _style(r) if o.formatting else none
         img = F.array(_tok(r["t"], F.concat(F.lit(T.IMG_KEY), r["img"]), F.lit(False), False, False, ci, st))
-        words = F.transform(_parts(r["t"], o), lambda t: _tok(t, T.norm_key(t, o), T.is_ws(t), False, False, ci, st))
+        words = F.transform(_parts(r["t"], o), lambda t: _tok(t, T.norm_key(t, o), T.is_ws_token(t), False, False, ci, st))
         return F.when(r["img"].isNotNull(), img).otherwise(words)
 
     def of_cell(rs: Column, ci: Column) -> Column:
@@ -120,26 +120,38 @@ def prepare(blocks: DataFrame, o: CompareOptions) -> DataFrame:
 
 def word_hashes(cells: Column, o: CompareOptions) -> Column:
     """64-bit keys of the tokens that count for similarity."""
+    solid = T.SOLID_CHAR_RE if o.precision == "char" else T.SOLID_WORD_RE
+
     def of_run(r: Column) -> Column:
-        words = F.transform(F.filter(_parts(r["t"], o), lambda t: ~T.is_ws(t)), lambda t: F.xxhash64(T.norm_key(t, o)))
+        words = F.transform(F.regexp_extract_all(F.coalesce(r["t"], F.lit("")), F.lit(solid), F.lit(0)),
+                            lambda t: F.xxhash64(T.word_key(t, o)))
         return F.when(r["img"].isNotNull(), F.array(F.xxhash64(F.concat(F.lit(T.IMG_KEY), r["img"])))).otherwise(words)
 
     return F.flatten(F.transform(cells, lambda rs: F.flatten(F.transform(rs, of_run))))
 
 
-def join_parts(parts: Column) -> Column:
-    """Tokens of several blocks as one sequence with a virtual blank between the blocks."""
+def row_tokens(blocks: Column, o: CompareOptions) -> Column:
+    """Tokens of the blocks of a row as one sequence; a virtual blank stands between two blocks."""
     none = F.lit(None).cast(STYLE)
 
-    def part(toks: Column, k: Column) -> Column:
+    def part(x: Column, k: Column) -> Column:
         gap = F.array(F.struct(
             F.lit("").alias("t"), F.xxhash64(F.lit(" ")).alias("key"), F.lit(True).alias("ws"),
             F.lit(False).alias("sep"), F.lit(True).alias("psep"), F.lit(0).alias("c"),
             k.cast("int").alias("blk"), none.alias("st")))
-        own = F.transform(toks, lambda t: F.struct(
+        own = F.transform(cell_tokens(x["cells"], o), lambda t: F.struct(
             t["t"].alias("t"), t["key"].alias("key"), t["ws"].alias("ws"), t["sep"].alias("sep"),
             t["psep"].alias("psep"), t["c"].alias("c"), k.cast("int").alias("blk"), t["st"].alias("st")))
         return F.when(k > 0, F.concat(gap, own)).otherwise(own)
 
-    return F.when(F.size(parts) == 1, F.element_at(parts, 1)) \
-        .otherwise(F.flatten(F.transform(parts, part)))
+    empty = F.array().cast(f"array<{TOKEN}>")
+    return (F.when(F.size(blocks) == 0, empty)
+            .when(F.size(blocks) == 1, cell_tokens(F.try_element_at(blocks, F.lit(1))["cells"], o))
+            .otherwise(F.flatten(F.transform(blocks, part))))
+
+
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns that are computed exactly once: a one-row explode, through which the optimizer neither
+    copies an expression into its consumers nor pushes a filter on it."""
+    packed = F.struct(*[c.alias(n) for n, c in cols.items()])
+    return df.select("*", F.explode(F.array(packed)).alias("_once")).select("*", "_once.*").drop("_once")

@@ -31,20 +31,20 @@ def compare_rows(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = C
 
 
 def compare_merged(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = CompareOptions(),
-                   all_rows: bool = False) -> DataFrame:
-    return ch.flat_merged(compare_rows(blocks_a, blocks_b, o, equal_rows=all_rows), all_rows)
+                   all_rows: bool = False, edits_only: bool = False) -> DataFrame:
+    return ch.flat_merged(compare_rows(blocks_a, blocks_b, o, equal_rows=all_rows), all_rows, edits_only, o.formatting)
 
 
 def compare_changes(blocks_a: DataFrame, blocks_b: DataFrame,
                     o: CompareOptions = CompareOptions()) -> DataFrame:
     """changes(pair_id, cid, sec, kind, row, row2, at, before, after, desc) of all pairs."""
-    return ch.list_changes(compare_merged(blocks_a, blocks_b, o))
+    return ch.list_changes(compare_merged(blocks_a, blocks_b, o, edits_only=True))
 
 
 def compare_in_context(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = CompareOptions()) -> DataFrame:
     """All changes with their clause and the text around them."""
     rows = insight.with_clauses(compare_rows(blocks_a, blocks_b, o, equal_rows=False))
-    return ch.changes_in_context(ch.flat_merged(rows))
+    return ch.changes_in_context(ch.flat_merged(rows, formats=o.formatting))
 
 
 def compare_risks(blocks_a: DataFrame, blocks_b: DataFrame, o: CompareOptions = CompareOptions(),

@@ -29,9 +29,9 @@ def revision_pairs(docs: DataFrame) -> DataFrame:
 
 
 def compare_pairs(docs: DataFrame, pairs: DataFrame, o: CompareOptions) -> DataFrame:
-    """flat edit script of all pairs of documents."""
+    """Edit script of the changes of all pairs of documents."""
     blocks = plain_blocks(docs)
-    return cp.compare_merged(align.with_pairs(blocks, pairs, "a"), align.with_pairs(blocks, pairs, "b"), o)
+    return cp.compare_merged(align.with_pairs(blocks, pairs, "a"), align.with_pairs(blocks, pairs, "b"), o, edits_only=True)
 
 
 def revision_changes(docs: DataFrame, o: CompareOptions = CompareOptions(formatting=False)) -> DataFrame:
