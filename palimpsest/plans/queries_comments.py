@@ -90,9 +90,9 @@ def _marks(t: Tables) -> DataFrame:
     return cm.comment_marks(comments(t), _offsets(t))
 
 
-@query("wn10_token_offsets", with_("offsets", """SELECT pair_id, side, "row", ix, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM offsets"""))
+@query("wn10_token_offsets", with_("offsets", """SELECT pair_id, side, "row", count(*) AS n, CAST(sum(s) AS BIGINT) AS s, CAST(sum(e) AS BIGINT) AS e, CAST(max(e) AS BIGINT) AS len FROM offsets GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    return _offsets(t).select("pair_id", "side", "row", "ix", "s", "e")
+    return _offsets(t).groupBy("pair_id", "side", "row").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("e").alias("e"), F.max("e").alias("len"))
 
 
 @query("jn24_comment_anchors", with_("marks", """SELECT pair_id, side, id, "row", ix, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, cid FROM marks"""))

@@ -149,7 +149,7 @@ def _(t: Tables) -> DataFrame:
     return o.select("o_orderkey", N.unit_of(c).alias("unit"), N.has_currency(c).alias("money"), N.has_percent(c).alias("percent"), N.has_duration(c).alias("duration"))
 
 
-@query("num5_byte_sizes", """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' ELSE printf('%.2f', n / 1048576.0) || ' MB' END AS size FROM (
+@query("num5_byte_sizes", """SELECT o_orderkey, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024.0 * 10 + 0.5) / 10) || ' KB' ELSE printf('%.2f', floor(n / 1048576.0 * 100 + 0.5) / 100) || ' MB' END AS size FROM (
     SELECT o_orderkey, CAST(floor(o_totalprice * (o_orderkey % 3 * 20 + 0.005)) AS BIGINT) AS n FROM orders)""")
 def _(t: Tables) -> DataFrame:
     n = F.floor(F.col("o_totalprice") * (F.col("o_orderkey") % 3 * 20 + 0.005))
@@ -275,10 +275,14 @@ def _decided(t: Tables) -> tuple[DataFrame, DataFrame]:
 cte("decided", """SELECT *, CASE WHEN op <> 0 OR fmt IS NOT NULL THEN CASE ("row" * 10000 + ix) % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'r' WHEN 2 THEN 'h' END END AS v FROM script""", "script")
 
 
-@query("red1_redline_pieces", with_("decided", """SELECT pair_id, CAST("row" AS INTEGER) AS "row", CAST(ix AS INTEGER) AS ix, tok AS t, CASE WHEN op = -1 AND v IS DISTINCT FROM 'r' THEN 'del' WHEN op = 1 AND v IS DISTINCT FROM 'a' THEN 'ins' END AS mark
-    FROM decided WHERE NOT (op = -1 AND v IS NOT DISTINCT FROM 'a') AND NOT (op = 1 AND v IS NOT DISTINCT FROM 'r')"""))
+@query("red1_redline_pieces", with_("decided", """SELECT pair_id, CAST("row" AS INTEGER) AS "row", count(*) AS n, md5(string_agg(tok || coalesce(mark, ''), '~' ORDER BY ix)) AS m FROM (
+    SELECT *, CASE WHEN op = -1 AND v IS DISTINCT FROM 'r' THEN 'del' WHEN op = 1 AND v IS DISTINCT FROM 'a' THEN 'ins' END AS mark
+    FROM decided WHERE NOT (op = -1 AND v IS NOT DISTINCT FROM 'a') AND NOT (op = 1 AND v IS NOT DISTINCT FROM 'r')) GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
-    return rl.redline_pieces(*_decided(t)).select("pair_id", "row", "ix", "t", "mark")
+    """The pieces of every row, told as their number and the digest of their texts and marks."""
+    p = rl.redline_pieces(*_decided(t))
+    piece = F.struct("ix", F.concat("t", F.coalesce("mark", F.lit(""))).alias("x"))
+    return p.groupBy("pair_id", "row").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(piece)).getField("x"), "~")).alias("m"))
 
 
 @query("red2_result_text", with_("decided", """SELECT pair_id, CAST("row" AS INTEGER) AS "row", md5(string_agg(tok, '' ORDER BY ix)) AS m FROM decided WHERE op = 0 OR (op = -1 AND v = 'r') OR (op = 1 AND (v IS DISTINCT FROM 'r')) GROUP BY ALL"""))
