@@ -22,10 +22,9 @@ HEADLINE = [
     "revision_pairs",            # which documents are versions of each other
     "revision_changes",          # … and every change between them
     "ag1_change_counts",         # full comparison of the corpus with an edited copy
-    "wn4_numbered_changes",      # the same with texts and numbers
     "jn13_best_version", "jn14_thread_match", "jn21_prior_hints", "jn16_attached_decisions",
-    "jn24_comment_anchors", "wn14_paragraphs", "wn17_list_numbers", "ag5_patterns", "ag6_change_density",
-    "ag29_prior_revisions", "jn29_differing_pixels", "red2_result_text",
+    "wn14_paragraphs", "wn17_list_numbers", "ag5_patterns", "ag6_change_density", "ag29_prior_revisions",
+    "jn29_differing_pixels",
 ]
 
 

@@ -175,7 +175,7 @@ def _(t: Tables) -> DataFrame:
 @query("ag15_comment_authors", "SELECT DISTINCT trim(role) AS author FROM conversations")
 def _(t: Tables) -> DataFrame:
     c = comments(t)
-    return cm.authors(c.unionByName(c.limit(1).withColumn("author", F.lit(" Unknown "))))
+    return cm.authors(c.unionByName(c.withColumn("author", F.lit(" Unknown "))))
 
 
 @query("ag14_removed_comments", with_("threads", """SELECT c.pair_id, count(*) FILTER (coalesce(t.owner, CASE WHEN trim(c.author) = 'user' THEN 'ours' ELSE 'theirs' END) = 'theirs') AS theirs,
