@@ -9,6 +9,7 @@ from palimpsest.operators import align, changes as ch, fingerprint as fp
 from palimpsest.operators.tokens import plain_blocks
 from palimpsest.options import MATCH_MIN, CompareOptions
 from palimpsest.plans import compare as cp
+from palimpsest.session import checkpoint
 
 
 def revision_pairs(docs: DataFrame) -> DataFrame:
@@ -35,8 +36,11 @@ def compare_pairs(docs: DataFrame, pairs: DataFrame, o: CompareOptions) -> DataF
 
 
 def revision_changes(docs: DataFrame, o: CompareOptions = CompareOptions(formatting=False)) -> DataFrame:
-    """Per pair of revisions: doc_a, doc_b, score and the number of changes of each kind."""
-    pairs = revision_pairs(docs)
+    """Per pair of revisions: doc_a, doc_b, score and the number of changes of each kind.
+
+    The pairs are read three times and small next to the corpus, so they are checkpointed.
+    """
+    pairs = checkpoint(revision_pairs(docs))
     stats = ch.change_stats(ch.list_changes(compare_pairs(docs, pairs, o)))
     kinds = ["del", "ins", "mod", "fmt", "move"]
     return pairs.join(stats, "pair_id", "left").select("doc_a", "doc_b", "score", *[F.coalesce(k, F.lit(0)).alias(k) for k in kinds])
