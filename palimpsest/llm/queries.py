@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mix, quality, secrets, shard, simhash, warc
+from palimpsest.llm import exact, mix, nearvec, quality, secrets, shard, simhash, warc
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes,
 FROM q""")
 def op10(spark, folder):
     return warc.archive_pages(table(spark, folder, "pages"))
+
+
+@query("op2_nearvec")
+def op2(spark, folder):
+    return nearvec.link(table(spark, folder, "embeddings"))
