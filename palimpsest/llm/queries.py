@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mix, nearvec, quality, secrets, shard, simhash, warc
+from palimpsest.llm import exact, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10(spark, folder):
 @query("op2_nearvec")
 def op2(spark, folder):
     return nearvec.link(table(spark, folder, "embeddings"))
+
+
+@query("op6_pieces")
+def op6(spark, folder):
+    return pieces.encode_samples(table(spark, folder, "documents"))
