@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
+from palimpsest.llm import exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ def op2(spark, folder):
 @query("op6_pieces")
 def op6(spark, folder):
     return pieces.encode_samples(table(spark, folder, "documents"))
+
+
+@query("op5_html")
+def op5(spark, folder):
+    return html.extract(table(spark, folder, "pages"))
