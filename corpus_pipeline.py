@@ -1,28 +1,45 @@
-"""The corpus pipeline: stages applied to ``documents``, each written and read again as the next one's input."""
+"""The corpus pipeline: stages applied to ``documents``, each written and read again as the next one's input.
+
+A stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
+columns of ``documents``. Equal rows and null keys are treated as the operators of ``palimpsest.llm`` say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact, mix, simhash
+from palimpsest.llm import exact, mix, pieces, quality, simhash
 from palimpsest.llm.common import saved, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text."""
     return exact.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
     return simhash.one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mix.mixed_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing)]
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document, decoded again."""
+    return pieces.encode_samples(docs)
+
+
+STAGES = [("quality", quality_filter), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
 
-# Trained scores, fingerprints by majority and sampled segmentations have no SQL form.
+# A fitted score and sampled segmentations have no SQL form.
 ORACLE_SQL = None
 
 
