@@ -72,8 +72,8 @@ def recipes(docs: DataFrame, bits: int = 64, shortest: int = SHORTEST, longest:
 def exact_groups(docs: DataFrame, bits: int = 64, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
     """Documents → (doc_id, keep_id, group_size, kept, text_sha256), one row each."""
     rows = recipes(docs, bits, shortest, longest)
-    groups = (rows.groupBy("ids", "ranks").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-              .where("n > 1"))
+    # written, so that the join deals out both sides itself and AQE can split the copies of one text
+    groups = saved(rows.groupBy("ids", "ranks").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     return (rows.join(groups, ["ids", "ranks"], "left")
             .select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
                     F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
