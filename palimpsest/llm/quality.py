@@ -124,6 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """The fitted model: a few numbers and 2 x DIMS weights."""
     got = learning_rows(docs, labels, sample).select(feature_sets("text").alias("ids"), "quality", "mark", "rows")
     row = got.repartition(1).mapInPandas(_fit, "model binary, bias double, slope double, offset double").first()
+    if row is None:
+        return {"model": b"", "bias": 0.0, "slope": 1.0, "offset": 0.0}
     return {"model": bytes(row["model"]), "bias": row["bias"], "slope": row["slope"], "offset": row["offset"]}
 
 
