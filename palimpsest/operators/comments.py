@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.session import checkpoint
+from palimpsest.session import checkpoint, until_settled
 
 PS = ["pair_id", "side"]
 
@@ -20,10 +20,10 @@ PS = ["pair_id", "side"]
 # ---- threads ------------------------------------------------------------------------------------------
 
 def comment_roots(comments: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
-    """root(pair_id, side, id, root): at most twenty steps up the reply chain.
+    """root(pair_id, side, id, root): the upper end of the reply chain, however long.
 
-    Steps are doubled (1, 2, 4, 8, 16), so five keyed joins serve any number of comments; ``cut`` ends
-    the lineage between them.
+    Steps are doubled, so a chain of n replies takes log2(n) keyed joins; ``cut`` ends the lineage between
+    them. Comments that reply to each other in a circle have no root (null).
     """
     known = comments.select(*PS, F.col("id").alias("parent"), F.lit(True).alias("known"))
     up = comments.select(*PS, "id", "parent").join(known, [*PS, "parent"], "left").select(
@@ -33,10 +33,13 @@ def comment_roots(comments: DataFrame, cut: Callable[[DataFrame], DataFrame] = c
         nxt = second.select(*PS, F.col("id").alias("root"), F.col("root").alias("next"))
         return first.join(nxt, [*PS, "root"]).select(*PS, "id", F.col("next").alias("root"))
 
-    jump = [cut(up)]
-    for _ in range(4):
-        jump.append(cut(then(jump[-1], jump[-1])))
-    return then(jump[4], jump[2])
+    tops = up.filter("id = root").select(*PS, F.col("id").alias("root"), F.lit(True).alias("_top"))
+
+    def moved(now: DataFrame) -> DataFrame:
+        return now.join(tops, [*PS, "root"], "left_anti")
+
+    settled = until_settled(up, lambda now: then(now, now), moved, cut)
+    return settled.join(tops, [*PS, "root"], "left").select(*PS, "id", F.when(F.col("_top"), F.col("root")).alias("root"))
 
 
 def threads(comments: DataFrame, roots: DataFrame, ours: list[str], reviewer: str, overrides: DataFrame | None = None,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.session import checkpoint
+from palimpsest.session import checkpoint, until_settled
 
 
 def number_paragraphs(paras: DataFrame, lists: DataFrame, levels: int = 9) -> DataFrame:
@@ -59,8 +59,9 @@ def heading_of(name: Column, outline: Column) -> Column:
 
 
 def inherit_styles(styles: DataFrame, props: list[str], cut: Callable[[DataFrame], DataFrame] = checkpoint) -> DataFrame:
-    """styles(style, based_on, props…) with every property taken from the nearest style of the chain of
-    at most twenty; spans of 1, 2, 4, 8 and 16 styles are combined by keyed joins."""
+    """styles(style, based_on, props…) with every property taken from the nearest style of its chain; spans
+    of 1, 2, 4 … styles are combined by keyed joins until every chain has ended. In a circle a style takes
+    what the other styles of the circle have."""
     def then(first: DataFrame, second: DataFrame) -> DataFrame:
         nxt = second.select(F.col("style").alias("up"), F.col("up").alias("_up"), *[F.col(p).alias(f"_{p}") for p in props])
         return first.join(nxt, "up", "left").select(
@@ -68,10 +69,7 @@ def inherit_styles(styles: DataFrame, props: list[str], cut: Callable[[DataFrame
 
     known = styles.select(F.col("style").alias("based_on"), F.lit(1).alias("_k"))
     one = styles.join(known, "based_on", "left").select("style", F.when(F.col("_k") == 1, F.col("based_on")).alias("up"), *props)
-    spans = [cut(one)]
-    for _ in range(4):
-        spans.append(cut(then(spans[-1], spans[-1])))
-    return then(spans[4], spans[2]).drop("up")
+    return until_settled(one, lambda now: then(now, now), lambda now: now.filter("up is not null"), cut).drop("up")
 
 
 # ---- runs ---------------------------------------------------------------------------------------------

@@ -94,20 +94,22 @@ def shown_changes(changes: DataFrame, kind: str | None = None, risks: DataFrame
 
 # ---- overviews ----------------------------------------------------------------------------------------
 
-def patterns(changes: DataFrame, by: list[str]) -> DataFrame:
-    """The six most frequent repeated changes (ten times or more) of pairs with 300 changes or more."""
+def patterns(changes: DataFrame, by: list[str], top: int | None = None, least: int = 1, least_all: int = 0) -> DataFrame:
+    """Repeated changes by frequency: all, or the ``top`` of those made ``least`` times or more in pairs with
+    ``least_all`` changes or more."""
     n = F.sum("n").over(Window.partitionBy(*by))
     g = changes.groupBy(*by, "kind", "before", "after").agg(F.count("*").alias("n"), F.min("cid").alias("first"))
     w = Window.partitionBy(*by).orderBy(F.col("n").desc(), "first")
-    return g.withColumn("_all", n).filter((F.col("_all") >= 300) & (F.col("n") >= 10)) \
-        .withColumn("rank", F.row_number().over(w)).filter("rank <= 6").drop("_all")
+    g = g.withColumn("_all", n).filter((F.col("_all") >= least_all) & (F.col("n") >= least)) \
+        .withColumn("rank", F.row_number().over(w)).drop("_all")
+    return g if top is None else g.filter(F.col("rank") <= top)
 
 
 KIND_RANK = {"del": 5, "mod": 4, "ins": 3, "move": 2, "fmt": 1}
 
 
-def density(changes: DataFrame, by: list[str], buckets: int = 120, dense: int = 200) -> DataFrame:
-    """Per pair with more than 200 changes: number of changes and leading kind of every bucket of the
+def density(changes: DataFrame, by: list[str], buckets: int = 120, dense: int = 0) -> DataFrame:
+    """Per pair with more than ``dense`` changes: number of changes and leading kind of every bucket of the
     document, with an intensity of three steps. ``changes`` carry row and n_rows."""
     bucket = F.least(F.lit(buckets - 1), F.floor(F.col("row") / F.col("n_rows") * buckets))
     g = changes.withColumn("bucket", bucket).groupBy(*by, "bucket", "kind").agg(F.count("*").alias("k"))
@@ -119,7 +121,7 @@ def density(changes: DataFrame, by: list[str], buckets: int = 120, dense: int =
         "level", F.when(share > 0.66, 3).when(share > 0.33, 2).otherwise(1)).filter(F.col("_all") > dense).drop("_all")
 
 
-def format_noise(changes: DataFrame, by: list[str]) -> DataFrame:
+def format_noise(changes: DataFrame, by: list[str], least: int = 1) -> DataFrame:
     """Pairs in which format changes dominate: n and whether whole paragraphs changed font, size or both.
 
     ``changes`` carry sig and ``whole`` (the row is a format row with a single change).
@@ -128,7 +130,7 @@ def format_noise(changes: DataFrame, by: list[str]) -> DataFrame:
     has = lambda s: F.count_if(f & F.col("whole") & F.contains("sig", F.lit(s)))
     g = changes.groupBy(*by).agg(F.count("*").alias("all"), F.count_if(f).alias("n"), has("font:").alias("font"), has("sz:").alias("size"))
     big = lambda c: F.col(c) >= F.col("n") * 0.6
-    return g.filter((F.col("n") >= 10) & (F.col("n") * 2 >= F.col("all"))).select(
+    return g.filter((F.col("n") >= least) & (F.col("n") * 2 >= F.col("all"))).select(
         *by, "n", F.when(big("font") & big("size"), "both").when(big("font"), "font").when(big("size"), "size").otherwise("any").alias("kind"))
 
 

@@ -157,7 +157,7 @@ def next_undecided(dec: DataFrame, by: list[str] = BY) -> DataFrame:
 
 
 def round_items(changes: DataFrame, dec: DataFrame, key: list[str]) -> DataFrame:
-    """Items of a round: changes with a verdict or a note, texts clipped to 300 characters."""
+    """Items of a round: changes with a verdict or a note, with their whole texts."""
     d = dec.filter(F.col("v").isNotNull() | (F.coalesce("note", F.lit("")) != "")).select(*key, "v", "note")
     return changes.join(d, key).select(
-        *key, "clause", F.substring("before", 1, 300).alias("before"), F.substring("after", 1, 300).alias("after"), "v", "note")
+        *key, "clause", "before", "after", "v", "note")

@@ -55,7 +55,7 @@ def cell_tokens(cells: Column, o: CompareOptions) -> Column:
 
     def of_run(r: Column, ci: Column) -> Column:
         st = _style(r) if o.formatting else none
-        img = F.array(_tok(r["t"], F.concat(F.lit(T.IMG_KEY), r["img"]), F.lit(False), False, False, ci, st))
+        img = F.array(_tok(F.coalesce(r["t"], F.lit("")), F.concat(F.lit(T.IMG_KEY), r["img"]), F.lit(False), False, False, ci, st))
         words = F.transform(_parts(r["t"], o), lambda t: _tok(t, T.norm_key(t, o), T.is_ws_token(t), False, False, ci, st))
         return F.when(r["img"].isNotNull(), img).otherwise(words)
 

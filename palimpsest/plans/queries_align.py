@@ -101,7 +101,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("jn3_paired_rows")
 def _(t: Tables) -> DataFrame:
-    return align.row_lists(align.pair_rows(cp.compare_stretches(*_ab(t), CompareOptions(formatting=False, merge_paras=False)), O))
+    one_to_one = CompareOptions(formatting=False, merge_paras=False)
+    return align.row_lists(align.pair_rows(cp.compare_stretches(*_ab(t), one_to_one), one_to_one))
 
 
 @query("jn6_split_merge_rows")

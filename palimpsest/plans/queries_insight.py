@@ -188,7 +188,7 @@ def _(t: Tables) -> DataFrame:
     FROM (SELECT *, sum(n) OVER (PARTITION BY pair_id) AS total FROM (SELECT pair_id, kind, before, after, count(*) AS n, min(cid) AS f FROM chg GROUP BY ALL))
     WHERE total >= 300 AND n >= 10) WHERE rk <= 6"""))
 def _(t: Tables) -> DataFrame:
-    return ins.patterns(chg(t), ["pair_id"]).select("pair_id", "kind", "before", "after", "n", "rank")
+    return ins.patterns(chg(t), ["pair_id"], top=6, least=10, least_all=300).select("pair_id", "kind", "before", "after", "n", "rank")
 
 
 @query("ag6_change_density", with_("chg", """, b AS (SELECT pair_id, least(119, CAST(floor("row" * 1.0 / (c.n * 2 + 1) * 120) AS BIGINT)) AS bucket, kind FROM chg JOIN (
@@ -199,7 +199,7 @@ def _(t: Tables) -> DataFrame:
       SELECT *, max(n) OVER (PARTITION BY pair_id) AS m, sum(n) OVER (PARTITION BY pair_id) AS total FROM k) WHERE total > 200""").replace("\n, b AS", ",\nb AS"))
 def _(t: Tables) -> DataFrame:
     c = chg(t).withColumn("n_rows", F.count("*").over(Window.partitionBy("pair_id")) * 2 + 1)
-    return ins.density(c, ["pair_id"]).select("pair_id", "bucket", "n", "kind", "level")
+    return ins.density(c, ["pair_id"], dense=200).select("pair_id", "bucket", "n", "kind", "level")
 
 
 @query("ag11_format_noise", with_("chg", """SELECT pair_id, n, CASE WHEN f >= n * 0.6 AND s >= n * 0.6 THEN 'both' WHEN f >= n * 0.6 THEN 'font' WHEN s >= n * 0.6 THEN 'size' ELSE 'any' END AS kind
@@ -208,7 +208,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     c = chg(t).filter("kind = 'fmt' or cid % 5 = 0")
     sig = F.concat_ws(";", F.when(F.col("m") < 8, "font:A>B"), F.when(F.col("m") < F.col("pair_id") % 11, "sz:10>12"))
-    return ins.format_noise(c.withColumn("sig", sig).withColumn("whole", F.lit(True)), ["pair_id"])
+    return ins.format_noise(c.withColumn("sig", sig).withColumn("whole", F.lit(True)), ["pair_id"], least=10)
 
 
 TITLE = "CASE WHEN sec <> 'body' THEN 'Footnotes' ELSE coalesce(clause, 'Opening') END"

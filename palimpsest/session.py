@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +24,28 @@ def builder(app: str = "palimpsest") -> SparkSession.Builder:
     return b
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or one below the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a temporary one only where none is set."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if folder is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix=f"ckpt-{os.getpid()}-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def until_settled(start: DataFrame, step: Callable[[DataFrame], DataFrame], moved: Callable[[DataFrame], DataFrame],
+                  cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Doubles steps until no row of ``moved`` is left, or until more steps were made than there are rows
+    (what still moves then moves in a circle)."""
+    now, steps, rows = cut(start), 1, None
+    while not moved(now).isEmpty():
+        rows = now.count() if rows is None else rows
+        if steps > rows:
+            break
+        now, steps = cut(step(now)), 2 * steps
+    return now

@@ -7,7 +7,6 @@ itself, nothing is rewritten as the store grows, and the current state is the la
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -18,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructType
 
 from palimpsest.operators import fingerprint as fp, library as lib
 from palimpsest.options import MATCH_MIN
+from palimpsest.session import shared_folder
 
 DEBOUNCE, ROUND_PAUSE, UNDO = "700 milliseconds", "600 milliseconds", "10 seconds"
 
@@ -25,13 +25,8 @@ DEBOUNCE, ROUND_PAUSE, UNDO = "700 milliseconds", "600 milliseconds", "10 second
 # ---- stores -------------------------------------------------------------------------------------------
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder all executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="palimpsest-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_batch(df: DataFrame, store: str, batch_id: int) -> None:
