@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from palimpsest.functions import text as T
 # ---- fixed values -----------------------------------------------------------
 MAX_DELTA = 35215.0
 SAME_PCT = 0.001
-LOW_CONF, WORD_CONF, REACH = 80, 70, 400
+LOW_CONF, WORD_CONF = 80, 70
 BIG_PAGES = 300
 SECONDS_IMAGE, SECONDS_OCR = 0.4, 8.0
 GRID, RADIUS, PAD = 10, 2, 3
@@ -126,27 +129,33 @@ def stitch_pages(pages: DataFrame) -> DataFrame:
     return g.select("doc_id", F.array_join(body, "\n\n").alias("text"))
 
 
+def _forward_hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Finds each page's words one after another and gives the unsure ones as line and columns."""
+    for batch in batches:
+        out = []
+        for doc, page, text, words, conf in zip(batch["doc_id"], batch["page"], batch["text"], batch["w"], batch["conf"]):
+            at = line = start = 0  # cursor; number and start of the line it is in
+            for w, c in zip(words, conf):
+                hit = text.find(w, at) if w else -1
+                if hit < 0:
+                    continue
+                if breaks := text.count("\n", at, hit):
+                    line, start = line + breaks, text.rfind("\n", at, hit) + 1
+                if c is not None and c < WORD_CONF:
+                    out.append((doc, page, line, hit - start, hit - start + len(w)))
+                at = hit + len(w)
+                if inner := w.count("\n"):
+                    line, start = line + inner, hit + w.rfind("\n") + 1
+        yield pd.DataFrame(out, columns=["doc_id", "page", "line", "from", "to"])
+
+
 def low_positions(pages: DataFrame) -> DataFrame:
     """low(doc_id, page, line, from, to): where words of confidence below 70 stand in the page text.
 
     pages(doc_id, page, text, words ARRAY<STRUCT<w, conf>>). Words are looked up in order from the end of
-    the last hit, at most 400 characters ahead; the cursor is folded in the JVM.
+    the last hit, however far ahead; one forward pass per page. A word that is not found is left out.
     """
-    acc_t = "struct<p:int,out:array<struct<s:int,n:int>>>"
-
-    def fold(text: Column, words: Column) -> Column:
-        def one(acc: Column, x: Column) -> Column:
-            w = T.strip_ws(x["w"])
-            at = F.position(w, text, acc["p"] + 1) - 1
-            hit = (w != "") & (at >= 0) & (at - acc["p"] <= REACH)
-            out = F.when(hit & (x["conf"] < WORD_CONF), F.concat(acc["out"], F.array(F.struct(at.alias("s"), F.length(w).alias("n"))))) \
-                .otherwise(acc["out"])
-            return F.struct(F.when(hit, at + F.length(w)).otherwise(acc["p"]).alias("p"), out.alias("out")).cast(acc_t)
-        start = F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<s:int,n:int>>").alias("out")).cast(acc_t)
-        return F.aggregate(words, start, one)["out"]
-
-    t = pages.select("doc_id", "page", "text", F.explode(fold(F.col("text"), F.col("words"))).alias("h"))
-    head = F.substr("text", F.lit(1), F.col("h.s"))
-    line = F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    col = F.length(F.regexp_extract(head, r"([^\n]*)$", 1))
-    return t.select("doc_id", "page", line.alias("line"), col.alias("from"), (col + F.col("h.n")).alias("to"))
+    kind = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    t = pages.where("text is not null and words is not null").select(
+        "doc_id", "page", "text", F.transform("words", lambda x: F.coalesce(T.strip_ws(x["w"]), F.lit(""))).alias("w"), F.col("words.conf").alias("conf"))
+    return t.mapInPandas(_forward_hits, f"doc_id {kind['doc_id']}, page {kind['page']}, line int, `from` int, `to` int")
