@@ -36,7 +36,9 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 def _open(uri: str):
     from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    if "://" not in uri:  # a plain path, or Spark's short form file:/path
+        uri = "file://" + uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
 
 
 def digest(payload: bytes) -> str:
