@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import text_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, SHARPNESS, CHARS, EDGES = 2, 1.0, 1_500_000, 5_000_000
+# Texts are taken some CHARS at a time, and a lattice of over EDGES is begun anew: both bound a worker's memory only.
+SAMPLES, SHARPNESS, CHARS, EDGES = 2, 1.0, 800_000, 1_500_000
 # The mark for a blank; a stand-in for that very character in a text; a cut between words. The last two cannot be in a text.
 SPACE, OWN, CUT = "▁", "\ud800", "\ud801"
 _WORDS = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")  # a line feed is a byte piece, so no piece runs over it
@@ -422,21 +423,19 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = 0, model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("key").to_numpy().view(np.uint64)
+            keys, chars = batch.column("key").to_numpy().view(np.uint64), np.cumsum(pc.utf8_length(batch.column("text")).to_numpy())
             at = 0
-            while at < len(texts):
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars + len(texts[to]) <= CHARS):
-                    chars += len(texts[to])
-                    to += 1
+            while at < len(keys):
+                to = max(at + 1, int(np.searchsorted(chars, CHARS + (chars[at - 1] if at else 0), side="right")))
+                texts = batch.column("text").slice(at, to - at).to_pylist()
                 lat = _lattice(sent.value)
-                v, got = lat.v, sample(texts[at:to], keys[at:to], lat, k)
+                v, got = lat.v, sample(texts, keys[at:to], lat, k)
                 flat = [(i, j, *s) for i, d in enumerate(got) for j, s in enumerate(d)]
                 ids = [x[2] for x in flat]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
                 values = np.concatenate(ids or [np.empty(0)]).astype(np.int32)
                 back = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), v.pieces.take(pa.array(values))), b"")
-                want = pa.array([b" " + texts[at + x[0]].encode() if texts[at + x[0]] else b"" for x in flat], pa.binary())
+                want = pa.array([b" " + texts[x[0]].encode() if texts[x[0]] else b"" for x in flat], pa.binary())
                 equal = pc.equal(back, want)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(pa.array([at + x[0] for x in flat])), pa.array([x[1] + 1 for x in flat], pa.int32()),
