@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import sys
 from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +17,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from palimpsest.options import (NO_SPLIT_ABOVE, PAIR_MIN_DICE, POSITIONAL_ABOVE, SPLIT_MAX_PARTS,
-                                SPLIT_MIN)
+from palimpsest.options import PAIR_MIN_DICE, SPLIT_MAX_PARTS, SPLIT_MIN
 
 # Above this many matrix bits (256 MB) one side is halved first.
 MATRIX_BITS = 1 << 31
-# Up to this many counts two tables are compared in one array step.
-DENSE_CELLS = 1 << 20
 
 
 def _levels(a: list, b: list) -> list[int]:
@@ -148,118 +147,119 @@ def absorb_islands(runs: list[list], ia: list, ib: list) -> list[list]:
 
 # ---- gaps -------------------------------------------------------------------
 
-def _common_counts(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-    """Multiset intersection sizes of all rows of two count tables."""
-    if ca.shape[0] * cb.shape[0] * ca.shape[1] <= DENSE_CELLS:
-        return np.minimum(ca[:, None, :], cb[None, :, :]).sum(axis=2)
-    out = np.zeros((ca.shape[0], cb.shape[0]), dtype=np.int64)
-    for col in np.flatnonzero(ca.any(axis=0) & cb.any(axis=0)):
-        ra, rb = np.flatnonzero(ca[:, col]), np.flatnonzero(cb[:, col])
-        out[np.ix_(ra, rb)] += np.minimum.outer(ca[ra, col], cb[rb, col])
-    return out
+# Weights are whole numbers of this unit, so that sums and ties are exact.
+UNIT = 1 << 40
 
 
-def _dice(common: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    total = na[:, None] + nb[None, :]
-    return np.where(total == 0, 1.0, 2.0 * common / np.maximum(total, 1))
+def _numbered(row: list) -> list[tuple]:
+    """Each token with its how-manieth occurrence: shared entries count the multiset intersection."""
+    seen: Counter = Counter()
+    out = []
+    for x in row:
+        out.append((x, seen[x]))
+        seen[x] += 1
+    return out
 
 
-def _windows(x: np.ndarray, k: int) -> np.ndarray:
-    """Sums of k consecutive rows; row i covers i … i+k-1."""
-    c = np.concatenate((np.zeros((1,) + x.shape[1:], dtype=x.dtype), np.cumsum(x, axis=0)))
-    return c[k:] - c[:-k]
+def overlaps(rows: list[list], others: list[list]) -> Iterator[np.ndarray]:
+    """Per row: its multiset intersection with every other row, from an inverted index."""
+    holders: dict = {}
+    for j, row in enumerate(others):
+        for x in _numbered(row):
+            holders.setdefault(x, []).append(j)
+    index = {x: np.array(js) for x, js in holders.items()}
+    for row in rows:
+        hits = [index[x] for x in _numbered(row) if x in index]
+        yield np.bincount(np.concatenate(hits) if hits else np.empty(0, np.int64), minlength=len(others))
+
+
+def spans(ones: list[list], parts: list[list]) -> list[list[tuple[int, int, int]]]:
+    """Per single block: the runs (first, number, weight) of consecutive parts that it is made of."""
+    sizes = np.array([len(r) for r in parts], dtype=np.int64)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    found = []
+    for one, common in zip(ones, overlaps(ones, parts)):
+        inside = common / np.maximum(sizes, 1) >= SPLIT_MIN
+        whole, here = Counter(one), []
+        for k in range(2, min(SPLIT_MAX_PARTS, len(parts)) + 1):
+            length = upto[k:] - upto[:-k]
+            fits = 2 * np.minimum(length, len(one)) >= SPLIT_MIN * (length + len(one))
+            for j in np.flatnonzero(np.lib.stride_tricks.sliding_window_view(inside, k).all(axis=1) & fits).tolist():
+                both = (whole & Counter(chain.from_iterable(parts[j:j + k]))).total()
+                share = 2 * both / (len(one) + int(length[j]))
+                if share >= SPLIT_MIN:
+                    here.append((j, k, round(share * (1 + k) / 2 * UNIT)))
+        found.append(here)
+    return found
 
 
 def pair_gap(a: list[list], b: list[list], split: bool) -> list[tuple[int, int, int, int]]:
-    """Groups (first a, number of a, first b, number of b) that cover a gap in reading order."""
-    n, m = len(a), len(b)
-    if n * m > POSITIONAL_ABOVE:
-        return _by_position(a, b)
-    split = split and n * m <= NO_SPLIT_ABOVE
-    ids: dict = {}
-    for row in a + b:
-        for x in row:
-            ids.setdefault(x, len(ids))
-    width = max(len(ids), 1)
-
-    def table(rows: list[list]) -> np.ndarray:
-        flat = [i * width + ids[x] for i, r in enumerate(rows) for x in r]
-        return np.bincount(flat, minlength=len(rows) * width).reshape(len(rows), width) if flat \
-            else np.zeros((len(rows), width), dtype=np.int64)
-
-    ca, cb = table(a), table(b)
-    na, nb = ca.sum(axis=1), cb.sum(axis=1)
-    common = _common_counts(ca, cb)
-    dice = _dice(common, na, nb)
-    wide: dict[tuple[int, int], np.ndarray] = {}
-    if split:
-        in_a = common / np.maximum(nb, 1)[None, :] >= SPLIT_MIN  # b's part lies in a
-        in_b = common / np.maximum(na, 1)[:, None] >= SPLIT_MIN
-        for k in range(2, SPLIT_MAX_PARTS + 1):
-            if k <= m:
-                s = _dice(_common_counts(ca, _windows(cb, k)), na, _windows(nb, k))
-                ok = (s >= SPLIT_MIN) & (_windows(in_a.T.astype(np.int64), k).T == k)
-                wide[1, k] = np.where(ok, s * (1 + k) / 2, -1.0)
-            if k <= n:
-                s = _dice(_common_counts(_windows(ca, k), cb), _windows(na, k), nb)
-                ok = (s >= SPLIT_MIN) & (_windows(in_b.astype(np.int64), k) == k)
-                wide[k, 1] = np.where(ok, s * (1 + k) / 2, -1.0)
-    score = np.zeros((n + 1, m + 1))
-    step: list[list] = [[None] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not i and not j:
-                continue
-            best, move = -1.0, None
-            if i and score[i - 1, j] > best:
-                best, move = score[i - 1, j], (1, 0)
-            if j and score[i, j - 1] > best:
-                best, move = score[i, j - 1], (0, 1)
-            if i and j:
-                s = dice[i - 1, j - 1]
-                if s >= PAIR_MIN_DICE and score[i - 1, j - 1] + s > best:
-                    best, move = score[i - 1, j - 1] + s, (1, 1)
-                for k in range(2, SPLIT_MAX_PARTS + 1):
-                    for p, q in ((1, k), (k, 1)):
-                        if (p, q) in wide and i >= p and j >= q:
-                            g = wide[p, q][i - p, j - q]
-                            if g > 0 and score[i - p, j - q] + g > best + 1e-9:
-                                best, move = score[i - p, j - q] + g, (p, q)
-            score[i, j], step[i][j] = best, move
-    out, i, j = [], n, m
-    while i or j:
-        p, q = step[i][j]
-        i, j = i - p, j - q
-        out.append((i, p, j, q))
-    out.reverse()
-    return _removed_first(out)
-
-
-def _removed_first(groups: list[tuple]) -> list[tuple]:
-    """Within a stretch of unpaired blocks, those of side a come before those of side b."""
-    out, held = [], []
-    for g in groups + [(0, 1, 0, 1)]:
-        if g[1] and g[3]:
-            out += [x for x in held if x[1]] + [x for x in held if not x[1]] + [g]
-            held = []
-        else:
-            held.append(g)
+    """Groups (first a, number of a, first b, number of b) that cover a gap in reading order.
+
+    The chain of pairs and spans with the largest total weight, exact at any size. Of equally heavy chains, that
+    whose last group ends first in a, then in b, is taken, and a pair before a span. A row of the table is one
+    array step; kept are the last few rows and the groups that made some chain heavier.
+    """
+    m = len(b)
+    nb = np.array([len(r) for r in b], dtype=np.int64)
+    cuts = spans(a, b) if split else [[]] * len(a)
+    merges: dict[int, list] = {}
+    for j, runs in enumerate(spans(b, a) if split else []):
+        for i, k, w in runs:
+            merges.setdefault(i + k, []).append((j, k, w))
+    best, tip = np.zeros(m + 1, dtype=np.int64), np.full(m + 1, -1, dtype=np.int64)
+    recent, groups, made = [(best, tip)], [np.empty((0, 5), dtype=np.int64)], 0
+    for end, (row, common) in enumerate(zip(a, overlaps(a, b)), start=1):
+        total = nb + len(row)
+        dice = np.where(total == 0, 1.0, 2.0 * common / np.maximum(total, 1))
+        value = np.full(m + 1, -1, dtype=np.int64)
+        value[1:] = np.where(dice >= PAIR_MIN_DICE, best[:-1] + np.rint(dice * UNIT).astype(np.int64), -1)
+        wide, tall = np.ones(m + 1, dtype=np.int64), np.ones(m + 1, dtype=np.int64)
+        before = np.concatenate(([-1], tip[:-1]))
+        longer = [(1, k, j, w) for j, k, w in cuts[end - 1]] + [(k, 1, j, w) for j, k, w in merges.get(end, [])]
+        for p, q, j, w in longer:
+            weight, last = recent[-p]
+            if weight[j] + w > value[j + q]:
+                value[j + q], tall[j + q], wide[j + q], before[j + q] = weight[j] + w, p, q, last[j]
+        most = np.maximum(value, best)
+        run = np.maximum.accumulate(most)
+        fresh = most > np.concatenate(([-1], run[:-1]))
+        at = np.flatnonzero(fresh & (value > best))
+        own = tip.copy()
+        own[at] = made + np.arange(len(at))
+        groups.append(np.stack((end - tall[at], tall[at], at - wide[at], wide[at], before[at]), axis=1))
+        made += len(at)
+        source = np.maximum.accumulate(np.where(fresh, np.arange(m + 1), 0))
+        best, tip = run, np.where(best == run, tip, own[source])
+        recent = [*recent[1 - SPLIT_MAX_PARTS:], (best, tip)]
+    table, k, linked = np.concatenate(groups), int(tip[-1]), []
+    while k >= 0:
+        *group, k = table[k].tolist()
+        linked.append(tuple(group))
+    return _covering(linked[::-1], len(a), m)
+
+
+def _covering(linked: list[tuple], n: int, m: int) -> list[tuple[int, int, int, int]]:
+    """The groups with all single blocks between them, those of side a first."""
+    out, i, j = [], 0, 0
+    for group in [*linked, (n, 0, m, 0)]:
+        out += [(x, 1, j, 0) for x in range(i, group[0])]
+        out += [(group[0], 0, y, 1) for y in range(j, group[2])]
+        i, j = group[0] + group[1], group[2] + group[3]
+        out.append(group)
     return out[:-1]
 
 
-def _by_position(a: list[list], b: list[list]) -> list[tuple]:
-    out = []
-    for i in range(max(len(a), len(b))):
-        if i < len(a) and i < len(b):
-            total = len(a[i]) + len(b[i])
-            both = (Counter(a[i]) & Counter(b[i])).total()
-            if not total or 2 * both / total >= PAIR_MIN_DICE:
-                out.append((i, 1, i, 1))
-                continue
-        if i < len(a):
-            out.append((i, 1, i, 0))
-        if i < len(b):
-            out.append((i, 0, i, 1))
+def pair_positions(a: list[list], b: list[list]) -> list[tuple[int, int, int, int]]:
+    """The mode a caller may ask for: block k goes with block k if they are similar enough."""
+    def alike(x: list, y: list) -> bool:
+        return not x and not y or 2 * (Counter(x) & Counter(y)).total() >= PAIR_MIN_DICE * (len(x) + len(y))
+    out: list[tuple] = []
+    for k, (x, y) in enumerate(zip_longest(a, b)):
+        if x is not None and y is not None and alike(x, y):
+            out.append((k, 1, k, 1))
+        else:
+            out += [(k, 1, k, 0)] * (x is not None) + [(k, 0, k, 1)] * (y is not None)
     return out
 
 
@@ -326,11 +326,11 @@ def _script_batch(a: pa.Array, b: pa.Array, ia: pa.Array, ib: pa.Array) -> pa.Ar
     return _structs([("op", op), ("a", xs), ("b", ys)], sizes, [pa.int32()] * 3)
 
 
-def _gap_rows(a: pa.Array, b: pa.Array, split: bool) -> pa.Array:
+def _gap_rows(a: pa.Array, b: pa.Array, pair: Callable) -> pa.Array:
     cols: list[list] = [[], [], [], []]
     sizes = []
     for ra, rb in zip(_rows(a), _rows(b)):
-        got = [] if ra is None or rb is None else pair_gap(ra, rb, split)
+        got = [] if ra is None or rb is None else pair(ra, rb)
         for col, vals in zip(cols, zip(*got)):
             col += vals
         sizes.append(len(got))
@@ -338,11 +338,15 @@ def _gap_rows(a: pa.Array, b: pa.Array, split: bool) -> pa.Array:
 
 
 def _gap_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _gap_rows(a, b, False)
+    return _gap_rows(a, b, lambda x, y: pair_gap(x, y, False))
 
 
 def _gap_split_batch(a: pa.Array, b: pa.Array) -> pa.Array:
-    return _gap_rows(a, b, True)
+    return _gap_rows(a, b, lambda x, y: pair_gap(x, y, True))
+
+
+def _gap_position_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    return _gap_rows(a, b, pair_positions)
 
 
 # Marked nondeterministic so that the optimizer neither repeats nor moves a call.
@@ -372,3 +376,8 @@ def gap_groups(a, b) -> Column:
 def gap_groups_split(a, b) -> Column:
     """The same with one block against two to four consecutive ones."""
     return F.arrow_udf(_gap_split_batch, _GROUPS).asNondeterministic()(a, b)
+
+
+def gap_groups_by_position(a, b) -> Column:
+    """Blocks paired by their place in the gap."""
+    return F.arrow_udf(_gap_position_batch, _GROUPS).asNondeterministic()(a, b)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import kernels as K
 from palimpsest.operators.tokens import word_hashes
-from palimpsest.options import NO_SPLIT_ABOVE, POSITIONAL_ABOVE, CompareOptions
+from palimpsest.options import CompareOptions
 from palimpsest.schema import sec_ord
 
 PS = ["pair_id", "sec"]
@@ -66,11 +66,11 @@ def gap_sizes(stretches: DataFrame) -> DataFrame:
 
 
 def degraded(gaps: DataFrame, o: CompareOptions) -> DataFrame:
-    """Per pair: whether a gap was paired by position, whether splitting was off, largest gap."""
+    """Per pair: whether a gap was paired by position (only if asked for), whether that kept blocks from being split, largest gap."""
     area = F.col("n").cast("long") * F.col("m")
     return gaps.groupBy("pair_id").agg(
-        F.bool_or(area > POSITIONAL_ABOVE).alias("pair_fallback"),
-        F.bool_or(F.lit(o.merge_paras) & (area > NO_SPLIT_ABOVE) & (area <= POSITIONAL_ABOVE)).alias("merge_off"),
+        F.bool_or(F.lit(o.by_position) & (area > 1)).alias("pair_fallback"),
+        F.bool_or(F.lit(o.merge_paras and o.by_position) & (area > 1)).alias("merge_off"),
         F.max(area).alias("max_region"))
 
 
@@ -80,7 +80,7 @@ def pair_rows(stretches: DataFrame, o: CompareOptions) -> DataFrame:
     n, m = F.size("a"), F.size("b")
     ask = ~F.col("eq") & (n > 0) & (m > 0) & ~((n == 1) & (m == 1))
     words = lambda c: F.when(ask, F.transform(c, lambda x: word_hashes(x["cells"], o)))
-    kernel = K.gap_groups_split if o.merge_paras else K.gap_groups
+    kernel = K.gap_groups_by_position if o.by_position else K.gap_groups_split if o.merge_paras else K.gap_groups
     t = stretches.withColumn("g", kernel(words("a"), words("b")))
     none = F.slice("a", 1, 0)
     item = lambda kind, i, a, b: F.struct(

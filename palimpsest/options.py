@@ -16,6 +16,7 @@ class CompareOptions:
     norm_punct: bool = False
     norm_quotes: bool = True
     merge_paras: bool = True
+    by_position: bool = False  # pair the blocks of a gap by their place, not by the best total similarity
 
     def plain(self) -> "CompareOptions":
         """Plain-text and recognised-text comparison: no formatting, empty lines stay."""
@@ -31,8 +32,6 @@ class RiskOptions:
 
 # Fixed limits of the pairing step.
 PAIR_MIN_DICE = 0.3
-POSITIONAL_ABOVE = 40_000
-NO_SPLIT_ABOVE = 12_000
 SPLIT_MIN = 0.8
 SPLIT_MAX_PARTS = 4
 

@@ -161,13 +161,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("jn5_positional_gaps")
 def _(t: Tables) -> DataFrame:
-    """The lines of fifty documents at a time against the same lines with their words turned round:
-    gaps far above the pairing limit are paired by position."""
+    """The lines of fifty documents at a time against the same lines with their words turned round,
+    in the mode that pairs large gaps by position."""
     src = lines(t).withColumn("vol", F.expr("doc_id div 50"))
     w = Window.partitionBy("vol").orderBy("doc_id", "pos")
     a = src.select(F.col("vol").alias("doc_id"), (F.row_number().over(w) - 1).alias("pos"), "line")
     b = a.withColumn("line", F.array_join(F.reverse(F.split("line", " ")), " "))
-    rows = align.pair_rows(cp.compare_stretches(blocks(a), blocks(b), O), O)
+    o = CompareOptions(formatting=False, by_position=True)
+    rows = align.pair_rows(cp.compare_stretches(blocks(a), blocks(b), o), o)
     return rows.groupBy("pair_id", "kind").agg(F.count("*").alias("n"))
 
 
@@ -251,7 +252,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("ag4_degraded")
 def _(t: Tables) -> DataFrame:
-    o = CompareOptions(formatting=False)
+    o = CompareOptions(formatting=False, by_position=True)
     return align.degraded(align.gap_sizes(cp.compare_stretches(*_ab(t), o)), o)
 
 

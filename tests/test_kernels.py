@@ -69,17 +69,14 @@ def best_weight(a, b):
 
 def test_gap_pairing_has_the_best_weight():
     rnd = random.Random(4)
-    for dense in (1 << 20, 0):
-        K.DENSE_CELLS, old = dense, K.DENSE_CELLS
-        for _ in range(100):
-            a = [[rnd.randrange(6) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(1, 6))]
-            b = [[rnd.randrange(6) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(1, 6))]
-            got = K.pair_gap(a, b, False)
-            assert [i for g in got if g[1] for i in [g[0]]] == list(range(len(a)))
-            assert [j for g in got if g[3] for j in [g[2]]] == list(range(len(b)))
-            weight = sum(dice(a[g[0]], b[g[2]]) for g in got if g[1] and g[3])
-            assert abs(weight - best_weight(a, b)) < 1e-9
-        K.DENSE_CELLS = old
+    for _ in range(200):
+        a = [[rnd.randrange(6) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(1, 6))]
+        b = [[rnd.randrange(6) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(1, 6))]
+        got = K.pair_gap(a, b, False)
+        assert [i for g in got if g[1] for i in [g[0]]] == list(range(len(a)))
+        assert [j for g in got if g[3] for j in [g[2]]] == list(range(len(b)))
+        weight = sum(dice(a[g[0]], b[g[2]]) for g in got if g[1] and g[3])
+        assert abs(weight - best_weight(a, b)) < 1e-9
 
 
 def test_split_and_merge():
@@ -89,10 +86,63 @@ def test_split_and_merge():
     assert (0, 1, 0, 2) not in K.pair_gap([whole], [whole[:11], whole[11:]], False)
 
 
-def test_large_gap_is_paired_by_position():
+def group_weight(x, y):
+    """What a group of blocks weighs, or nothing if it is not one."""
+    if len(x) == len(y) == 1:
+        d = dice(x[0], y[0])
+        return d if d >= 0.3 else None
+    one, parts = (x[0], y) if len(x) == 1 else (y[0], x)
+    share = lambda p: (dice(p, one) * (len(p) + len(one)) / 2) / max(len(p), 1)
+    d = dice(one, sum(parts, []))
+    return d * (1 + len(parts)) / 2 if d >= 0.8 and all(share(p) >= 0.8 - 1e-12 and p for p in parts) else None
+
+
+def test_gap_pairing_with_spans_has_the_best_weight():
+    rnd, several = random.Random(6), 0
+    shapes = [(1, k) for k in range(1, 5)] + [(k, 1) for k in range(2, 5)]
+    for _ in range(300):
+        words = [rnd.randrange(12) for _ in range(rnd.randrange(4, 24))]
+        cut = lambda: [list(p) for p in _pieces([w for w in words if rnd.random() > 0.05], rnd)]
+        a, b = cut(), cut()
+        best = [[0.0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                ways = [0.0, best[i - 1][j] if i else 0.0, best[i][j - 1] if j else 0.0]
+                for p, q in shapes:
+                    w = group_weight(a[i - p:i], b[j - q:j]) if i >= p and j >= q else None
+                    ways += [] if w is None else [best[i - p][j - q] + w]
+                best[i][j] = max(ways)
+        got = K.pair_gap(a, b, True)
+        assert [i for g in got for i in range(g[0], g[0] + g[1])] == list(range(len(a)))
+        assert [j for g in got for j in range(g[2], g[2] + g[3])] == list(range(len(b)))
+        linked = [g for g in got if g[1] and g[3]]
+        several += sum(g[1] + g[3] > 2 for g in linked)
+        assert abs(sum(group_weight(a[g[0]:g[0] + g[1]], b[g[2]:g[2] + g[3]]) for g in linked) - best[-1][-1]) < 1e-9
+    assert several > 50
+
+
+def _pieces(words, rnd):
+    at = 0
+    while at < len(words):
+        k = rnd.randrange(1, 9)
+        yield words[at:at + k]
+        at += k
+
+
+def test_a_large_gap_is_paired_like_a_small_one():
+    a = [[("a", i, k) for k in range(6)] + ["the", "of"] for i in range(220)]
+    b = [row[:5] + [("b", i), "the", "of"] for i, row in enumerate(a)]
+    del b[100]
+    b.insert(30, ["new"] * 9)
+    want = [(i, 1, i + (i >= 30) - (i > 100), 1) for i in range(220) if i != 100]
+    assert [g for g in K.pair_gap(a, b, True) if g[1] and g[3]] == want
+    assert sum(1 for g in K.pair_gap(a * 5, b * 5, True) if g[1] and g[3]) == 5 * 219
+
+
+def test_pairing_by_position_is_a_mode():
     a = [[i, i + 1] for i in range(0, 500, 2)]
     b = [x if k % 2 else [-k, -k - 1] for k, x in enumerate(a, start=1)]
-    got = K.pair_gap(a, b, True)
+    got = K.pair_positions(a, b)
     assert sum(1 for g in got if g[1] and g[3]) == 125 and len(got) == 375
 
 
