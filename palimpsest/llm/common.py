@@ -43,6 +43,21 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_key(doc_id: Column, digest: Column) -> Column:
+    """One key, never null, of a document id (null included) and the digest of its text."""
+    return F.concat(digest, F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("")))
+
+
+def rows_of(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose key is in ``stay`` (_key), all columns; of several rows with one key the smallest.
+
+    The columns travel inside one struct, so their names cannot clash with the key's; choosing among repeated rows
+    reuses the join's partitioning, hence the texts are shuffled once.
+    """
+    rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
+    return rows.join(stay, "_key", "left_semi").groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): (node, component), the component being its smallest node.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, saved, text_of
+from palimpsest.llm.common import SPACE, id_key, rows_of, saved, text_of
 
 SHORTEST, LONGEST = 512, 8192
 # Cut characters: about a quarter of the letters and digits, picked by a multiplicative hash of their code.
@@ -81,11 +81,6 @@ def exact_groups(docs: DataFrame, bits: int = 64, shortest: int = SHORTEST, long
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all their columns; of repeated rows (same doc_id, equal text) one stays.
-
-    Only the identifiers of documents that go are joined, so unique documents are not compared by text again.
-    """
-    ids = exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept").where("kept")
-    sha = docs.withColumn("_sha256", F.sha2(normal(text_of()), 256))
-    stay = sha.join(ids, sha["doc_id"].eqNullSafe(ids["_id"]) & (sha["_sha256"] == ids["_sha"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_sha256"]).select(*docs.columns)
+    """The documents that stay, all their columns; of repeated rows (same doc_id, equal text) the smallest stays."""
+    kept = exact_groups(docs).where("kept").select(id_key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    return rows_of(docs, id_key(F.col("doc_id"), F.sha2(normal(text_of()), 256)), kept)

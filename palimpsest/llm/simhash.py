@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import components, saved
+from palimpsest.llm.common import components, id_key, rows_of, saved, text_of
 
 WORDS, DISTANCE, GROUPS = 4, 4, 8
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -87,24 +87,32 @@ def linked(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS)
     return components(inner.union(links))
 
 
+def _least(rows: DataFrame, distance: int) -> DataFrame:
+    """Rows (fp, rank) → (fp, least): the smallest rank in the component of each distinct fingerprint.
+
+    Fingerprints without links are components of their own and enter no join on components. Both small tables are
+    written, so that a join with them deals out both sides itself and AQE can split a hot component or fingerprint.
+    """
+    firsts = rows.groupBy("fp").agg(F.min("rank").alias("first"))
+    found = saved(linked(firsts.select("fp"), distance).select(F.col("node").alias("fp"), "component"))
+    least = saved(firsts.join(found, "fp").groupBy("component").agg(F.min("first").alias("least")))
+    return saved(firsts.join(found.join(least, "component"), "fp", "left").select("fp", F.coalesce("least", "first").alias("least")))
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Documents (doc_id, text) → (doc_id, fingerprint, component_id), one row each."""
-    rows = saved(docs.select("doc_id", fingerprints("text").alias("fp")))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = saved(linked(distinct.select("fp"), distance).select(F.col("node").alias("fp"), "component"))
-    # the smallest doc_id of each component; fingerprints without links are components of their own
-    named = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = saved(docs.select(F.col("doc_id").alias("rank"), fingerprints("text").alias("fp")))
+    return rows.join(_least(rows, distance), "fp").select(
+        F.col("rank").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, all its columns: that with the smallest doc_id.
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """One document of each component, all its columns: that with the smallest doc_id (null ids last).
 
-    Repeated rows with one doc_id keep one of the smallest text digest; a component of null doc_ids keeps one row
-    per fingerprint.
+    Of repeated doc_ids inside a component the one with the smallest text digest stays, then the smallest row.
     """
-    ids = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
-    return stay.dropDuplicates(["doc_id"])
+    digest = F.sha2(text_of(), 256)
+    rank = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    rows = saved(docs.select(rank.alias("rank"), fingerprints("text").alias("fp")))
+    stay = _least(rows, distance).select(id_key(F.col("least.id"), F.col("least.digest")).alias("_key"))
+    return rows_of(docs, id_key(F.col("doc_id"), digest), stay)

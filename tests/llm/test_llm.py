@@ -145,6 +145,35 @@ def test_simhash(docs):
     assert got == sorted((r[0] if r[0] is not None else -1, f"{f:016x}", least.get(c)) for r, f, c in zip(rows, fps, comp))
 
 
+def test_one_of_each_component(docs, spark):
+    """Repeated ids in different components all stay, null ids too, of repeated rows the smallest one."""
+    more = [(900, "a text of its own " * 9, None, None, None, None, None, None, None, None),
+            (900, "quite another text here " * 9, "b", None, None, None, None, None, None, None),
+            (900, "quite another text here " * 9, "a", None, None, None, None, None, None, None),
+            (None, "no id but words of its own", None, None, None, None, None, None, None, None),
+            (None, "no id but words of its own", None, None, None, None, None, None, None, None)]
+    every = docs.union(spark.createDataFrame(more, SCHEMA))
+    found = every.collect()
+    ids = [(r.doc_id, simhash.fingerprint_of(r.text), hashlib.sha256((r.text or "").encode()).hexdigest(), r) for r in found]
+    group = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if (ids[i][1] ^ ids[j][1]).bit_count() <= 4 and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {}
+    for g, (i, _, digest, r) in zip(group, ids):
+        rank = (i is None, i or 0, digest, r.lang or "")
+        if g not in want or rank < want[g][0]:
+            want[g] = rank, r
+    key = lambda r: tuple("" if x is None else str(x) for x in r)
+    got = simhash.one_of_each(every)
+    assert got.columns == every.columns
+    assert sorted(map(key, got.collect())) == sorted(key(r) for _, r in want.values())
+    kept = [r for r in exact.without_copies(every).collect() if r.doc_id in (900, None)]
+    assert sorted((r.lang or "") for r in kept if r.doc_id == 900) == ["", "a"]
+    assert sorted(r.text for r in kept if r.doc_id is None) == ["no id but words of its own", "null id"]
+
+
 def test_simhash_links_dense_and_chained_groups(spark):
     rng = random.Random(5)
     fps = set()
