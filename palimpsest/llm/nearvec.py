@@ -1,11 +1,10 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings by exact comparison in overlapping shards.
 
 Vectors of a label are assigned to the cells of their nearest pivots (overlapping shards, each vector in several).
-In each shard every vector gets a neighbour list, robust-pruned so that edges point in different directions; the
-lists of all shards are united per vector. Searches run in the shards over the united lists: greedy from the medoid
-until the best of the beam is expanded, then, inside the wanted range, on to every neighbour (range expansion).
-Pairs found are verified by their cosine in double precision and counted in the first shard both share, so counts
-need no list of pairs; a shard gives back a spanning forest of its links, and components are joined over shards.
+In each shard every vector is compared with every other, so a dense group cannot hide other links; links at the
+threshold are verified by their cosine in double precision. All shards that two vectors share find the same, so a
+pair is counted in the first of them and counts need no list of pairs; a shard gives back a spanning forest of its
+links, and components are joined over shards. Only a pair that shares no cell can be missed.
 
 A shard is bounded: a cell with more than ``CELL`` members is cut into blocks by a hash, and every two blocks make a
 shard, so all pairs of a cell still meet and nothing is capped. Pivots are a bounded sample kept apart from each
@@ -31,7 +30,6 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import components, saved
 
 COSINE, NEAREST, CELL, PIVOTS, APART = 0.98, 3, 512, 16384, 0.9
-DEGREE, CANDIDATES, ALPHA, BEAM = 24, 64, 1.2, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -86,69 +84,23 @@ def _assign(pivots, nearest: int):
     return assign
 
 
-def prune(sim: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
-    """Robust pruning: keep the nearest candidate, drop those that it covers (alpha times nearer to it than to us)."""
-    n, out = len(sim), []
-    k = min(candidates, n - 1)
-    if k < 1:
-        return [np.empty(0, int)] * n
-    far = np.sqrt(np.maximum(2 - 2 * sim, 0))
-    order = np.argpartition(far + np.eye(n) * 9, k - 1, axis=1)[:, :k]
-    for i in range(n):
-        rest = order[i][np.argsort(far[i, order[i]], kind="stable")]
-        chosen = []
-        while len(rest) and len(chosen) < degree:
-            best, rest = rest[0], rest[1:]
-            chosen.append(best)
-            rest = rest[alpha * far[best, rest] > far[i, rest]]
-        out.append(np.array(chosen))
-    return out
-
-
-def _build(part: pd.DataFrame) -> pd.DataFrame:
-    """One shard → its neighbour lists."""
-    part = part.sort_values("vid")
-    x, ids = unit(part["v"]), part["vid"].to_numpy()
-    return pd.DataFrame({"vid": ids, "near": [ids[c].tolist() for c in prune(x @ x.T)]})
-
+def links_of(x: np.ndarray, given, least: float) -> np.ndarray:
+    """The boolean matrix of pairs of a shard with a cosine of ``least`` or more: every pair is compared.
 
-def search(x: np.ndarray, near: list[np.ndarray], least: float, beam: int = BEAM) -> np.ndarray:
-    """All vectors of a shard at once: which others does a range-expanding greedy search from the medoid reach?
-
-    Returns the boolean matrix of pairs visited with a cosine of ``least`` or more.
+    x are the unit vectors of ``given``. Pairs at the threshold are decided on the given components, so each shard
+    that two vectors share decides alike.
     """
-    n = len(x)
     sim = x @ x.T
-    width = max([1, *map(len, near)])
-    lists = np.full((n, width), -1)
-    for i, c in enumerate(near):
-        lists[i, : len(c)] = c
-    medoid = int(np.argmax(x @ x.sum(0)))
-    seen, done = np.zeros((n, n), bool), np.zeros((n, n), bool)
-    seen[:, medoid] = True
-    active = np.arange(n)
-    slack = least - 0.04
-    while len(active):
-        # the unexpanded vectors worth a step: in the widened range, or the best one if it is within the beam
-        score = np.where(seen[active], sim[active], -2.0)
-        open_ = np.where(done[active], -2.0, score)
-        best = open_.argmax(1)
-        top = open_[np.arange(len(active)), best]
-        k = min(beam, n) - 1
-        edge = -np.partition(-score, k, axis=1)[:, k]
-        step = (open_ >= slack)
-        go = (top > -2.0) & (top >= edge)
-        step[np.flatnonzero(go), best[go]] = True
-        q, at = np.nonzero(step)
-        if not len(q):
-            break
-        done[active[q], at] = True
-        to = lists[at]
-        ok = to >= 0
-        seen[np.repeat(active[q], width).reshape(-1, width)[ok], to[ok]] = True
-        active = active[np.unique(q)]
-    found = seen & (sim >= least - 1e-9)
-    np.fill_diagonal(found, False)
+    found = sim >= least + 1e-9
+    i, j = np.nonzero(np.triu(sim >= least - 1e-9, 1) & ~found)
+    if len(i):
+        v = np.array(list(given), float)
+        v = v / np.abs(v).max(1, keepdims=True)
+        for s in range(0, len(i), 4096):
+            a, b = v[i[s:s + 4096]], v[j[s:s + 4096]]
+            cos = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+            found[i[s:s + 4096], j[s:s + 4096]] = cos >= least
+    found = np.triu(found, 1)
     return found | found.T
 
 
@@ -169,16 +121,7 @@ def _search_shard(least: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("vid").reset_index(drop=True)
         x, ids, rows = unit(part["v"]), part["vid"].to_numpy(), part["n"].to_numpy()
-        at = {v: i for i, v in enumerate(ids)}
-        near = [np.array([at[v] for v in c if v in at], int) for c in part["near"]]
-        found = search(x, near, least)
-        i, j = np.nonzero(np.triu(found))
-        if len(i):  # verified on the given components, not on the unit vectors
-            a, b = np.array(part["v"].tolist(), float)[i], np.array(part["v"].tolist(), float)[j]
-            a, b = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
-            cos = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
-            bad = cos < least
-            found[i[bad], j[bad]] = found[j[bad], i[bad]] = False
+        found = links_of(x, part["v"], least)
         # a pair counts in the first shard that both are in
         mine = part["shard"].iloc[0]
         earlier = [frozenset(s for s in all_ if s < mine) for all_ in part["shards"]]
@@ -219,9 +162,7 @@ def link(vectors: DataFrame, least: float = COSINE, nearest: int = NEAREST) -> D
     distinct = saved(rows.groupBy("label", "dim", "mark", "v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
                      .withColumn("vid", F.xxhash64("label", "v")))
     placed = saved(shards_of(distinct.select("label", "dim", "vid", "n", "v"), nearest))
-    lists = placed.groupBy("label", "dim", "shard").applyInPandas(_build, "vid long, near array<long>")
-    union = lists.groupBy("vid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    found = saved(placed.join(union, "vid").select("label", "dim", "shard", "shards", "vid", "n", "v", "near")
+    found = saved(placed.select("label", "dim", "shard", "shards", "vid", "n", "v")
                   .groupBy("label", "dim", "shard").applyInPandas(_search_shard(least), "vid long, links long, root long"))
     counts = found.groupBy("vid").agg(F.sum("links").alias("links"))
     joined = components(found.where("root is not null").select(F.col("vid").alias("a"), F.col("root").alias("b")))

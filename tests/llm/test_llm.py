@@ -263,6 +263,31 @@ def test_vectors(spark):
     assert all(got.n_links[i] == 0 and got.component_id[i] == i and got.kept[i] for i, *_ in odd)
 
 
+def dense_beside_sparse(size):
+    """Two dense groups, and pairs and single vectors around them: (vectors, brute-force link matrix)."""
+    rng = np.random.default_rng(size)
+    centre = rng.normal(size=(2, 16))
+    dense = [c + rng.normal(size=(k, 16)) * 0.02 for c, k in zip(centre, (size, size // 2))]
+    around = np.concatenate([c + rng.normal(size=(40, 16)) * 0.45 for c in centre])
+    x = np.concatenate([*dense, around, around + rng.normal(size=around.shape) * 0.01, rng.normal(size=(60, 16))])
+    e = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = e @ e.T >= 0.98
+    np.fill_diagonal(link, False)
+    return x, link
+
+
+@pytest.mark.parametrize("size", [100, 1000])
+def test_links_beside_dense_groups(spark, size):
+    x, link = dense_beside_sparse(size)
+    got = nearvec.link(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    got = got.toPandas().set_index("vec_id").sort_index()
+    want = link.sum(1)
+    few = (want > 0) & (want < 10)
+    assert few.sum() >= 80 and (want >= size // 2 - 1).sum() >= size
+    recall = np.minimum(got.n_links, want)[want > 0] / want[want > 0]
+    assert recall.min() == 1 and (got.n_links == want).all()  # per vector, those with few links too
+
+
 def test_pages():
     said = "The first part of it, with a comma. And more of it follows here."
     page = f"<html><head><title>t</title></head><body><nav><a href=x>m</a></nav><article><h1>A &amp; b</h1><p>{said}<p>two<br>three <b>fo</b>ur<script>no</script></article><footer>f</footer></body>"
