@@ -122,7 +122,7 @@ def _search_shard(least: float):
         part = part.sort_values("vid").reset_index(drop=True)
         x, ids, rows = unit(part["v"]), part["vid"].to_numpy(), part["n"].to_numpy()
         found = links_of(x, part["v"], least)
-        # a pair counts in the first shard that both are in
+        # a pair counts in the first shard that both are in: that shard found it too, as links_of misses none and decides alike
         mine = part["shard"].iloc[0]
         earlier = [frozenset(s for s in all_ if s < mine) for all_ in part["shards"]]
         counted = found.copy()

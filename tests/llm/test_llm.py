@@ -288,6 +288,15 @@ def test_links_beside_dense_groups(spark, size):
     assert recall.min() == 1 and (got.n_links == want).all()  # per vector, those with few links too
 
 
+def test_links_agree_with_components(spark):
+    x, link = dense_beside_sparse(1000)  # the dense group is cut into blocks, so vectors share several shards
+    got = nearvec.link(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    got = got.toPandas().set_index("vec_id").sort_index()
+    alone = got.groupby("component_id")["kept"].transform("size") == 1
+    assert ((got.n_links == 0) == alone).all() and got.n_links.sum() == link.sum()
+    assert got.component_id.tolist() == unite(len(x), np.argwhere(np.triu(link)).tolist())
+
+
 def test_pages():
     said = "The first part of it, with a comma. And more of it follows here."
     page = f"<html><head><title>t</title></head><body><nav><a href=x>m</a></nav><article><h1>A &amp; b</h1><p>{said}<p>two<br>three <b>fo</b>ur<script>no</script></article><footer>f</footer></body>"
