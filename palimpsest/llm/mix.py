@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a low-discrepancy schedule (columns only).
 
 Van der Corput points walk through the cumulative shares of the sources; each point is a slot of ``block`` words,
-and the slots of a source are ranked. Each source's documents form a shuffled stream of words, cut into equal
+and the slots of a source are ranked, as many as its target has blocks. Each source's documents form a shuffled stream of words, cut into equal
 blocks; slot r takes block r. A second epoch, shuffled anew, follows where a target exceeds its source.
 
 Ranks and running sums are made in two levels (bounded chunks, then sums per chunk), so no task holds a source.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import WORD, saved, text_of
 
 WEIGHTS, SHARE, EPOCHS, BLOCK = (5.0, 2.0, 1.0), 1.5, 2, 256
-CHUNK, SUBS, BUCKETS = 4096, 4096, 1024
+CHUNK, SUBS = 4096, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -48,26 +48,35 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ep
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The slots (slot, sid, block_no): which source fills each slot, and with which of its blocks."""
-    spark = targets.sparkSession
+    """The slots (slot, sid, block_no): which source fills each slot, and with which of its blocks.
+
+    Every source gets as many slots as its target has blocks: the first points of the sequence that fall into its
+    share. Among the first 2**k points those of a share are the multiples of 2**-k in it, each point's number being
+    its multiple with the bits reversed; k is taken so large that the share holds enough of them.
+    """
     total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = int(total / block * 1.02) + 64 if total else 0
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = W.orderBy("sid")
     t = (targets.withColumn("hi", F.sum("target").over(order) / F.lit(total or 1.0))
          .withColumn("hi", F.when(F.lead("sid").over(order).isNull(), 1.0).otherwise(F.col("hi")))
-         .withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).where("lo < hi"))
-    reach = t.select("sid", "lo", "hi", F.explode(F.sequence(
-        F.floor(F.col("lo") * BUCKETS), F.least(F.floor(F.col("hi") * BUCKETS), F.lit(BUCKETS - 1)))).alias("bucket"))
-    point = F.conv(F.reverse(F.lpad(F.bin("id"), 53, "0")), 2, 10).cast("double") / F.lit(float(2**53))
-    points = spark.range(slots).select(F.col("id").alias("slot"), point.alias("x")).withColumn("bucket", F.floor(F.col("x") * BUCKETS))
-    placed = (points.join(reach, "bucket").where("x >= lo and x < hi")
-              .select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk")))
+         .withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0))).where("lo < hi")
+         .withColumn("need", F.ceil(F.round("target") / block)).where("need > 0")
+         .withColumn("bits", F.greatest(F.lit(1), F.ceil(F.log2((F.col("need") + 2) / (F.col("hi") - F.col("lo"))))).cast("int"))
+         .withColumn("first", F.ceil(F.col("lo") * F.pow(F.lit(2.0), "bits")))
+         .withColumn("last", F.ceil(F.col("hi") * F.pow(F.lit(2.0), "bits")) - 1))
+    stretch = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") - F.col("first")) / CHUNK)))
+    stretches = t.select("*", stretch.alias("stretch")).repartition(parts, "sid", "stretch")
+    start = F.col("first") + F.col("stretch") * CHUNK
+    points = stretches.select("*", F.explode(F.sequence(start, F.least(start + CHUNK - 1, F.col("last")))).alias("point"))
+    slot = F.conv(F.reverse(F.lpad(F.bin("point"), F.col("bits"), F.lit("0"))), 2, 10).cast("long")
+    placed = (points.withColumn("slot", slot)
+              .select("slot", "sid", "need", F.floor(F.col("slot") * (F.col("hi") - F.col("lo")) / CHUNK).alias("chunk")))
     before = W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     base = placed.groupBy("sid", "chunk").count().select(
         "sid", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot"))
     return (placed.withColumn("rank", rank).join(base, ["sid", "chunk"])
-            .select("slot", "sid", (F.col("base") + F.col("rank") - 1).alias("block_no")))
+            .withColumn("block_no", F.col("base") + F.col("rank") - 1).where("block_no < need").select("slot", "sid", "block_no"))
 
 
 def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:

@@ -104,6 +104,30 @@ def test_mix(docs):
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 4
 
 
+def test_mix_fills_small_sources(spark):
+    sizes = {f"s{i:02}": n for i, n in enumerate([300_000, 50, 80, 1, 100, 256, 200_000, 257, 500, 999, 1000, 3])} | {None: 60}
+    rows = [(i * 100 + j, name, "w " * (n // 4 + (n % 4 if j == 0 else 0))) for i, (name, n) in enumerate(sizes.items()) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix.mix(df).toPandas()
+    s = got.groupby("source", dropna=False).agg(size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum"))
+    assert {None if pd.isna(k) else k: int(v) for k, v in s["size"].items()} == sizes
+    assert (abs(s.taken - s.target) <= 0.5 + 1e-6).all()
+    assert mix.mixed_documents(df).select("source").distinct().count() == len(sizes)
+
+
+def test_slots_are_the_first_points_of_each_share(spark):
+    target = [70_000.0, 40.0, 9_000.0, 0.2, 300.0]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "sid long, target double")
+    got = mix.schedule(df, block=16).toPandas()
+    hi = np.cumsum(target) / sum(target)
+    lo = np.append(0, hi[:-1])
+    x = np.array([int(f"{i:053b}"[::-1], 2) / 2**53 for i in range(40_000)])
+    for i, t in enumerate(target):
+        mine = got[got.sid == i].sort_values("block_no")
+        assert mine.slot.tolist() == np.flatnonzero((x >= lo[i]) & (x < hi[i]))[: math.ceil(round(t) / 16)].tolist()
+        assert mine.block_no.tolist() == list(range(len(mine)))
+
+
 def test_permutation_is_a_permutation_with_an_inverse():
     for n in (1, 2, 3, 5, 40, 257, 1000):
         p = shard.permute(np.arange(n), n, 3)
