@@ -312,14 +312,19 @@ def read_trees(said: str) -> list[tuple[float, list[tuple[int, float, int, int,
     return trees
 
 
+#: A page that may teach: it has an article or main element.
+MARKED = r"(?i)<(?:article|main)[\s>]"
+
+
 def learn(pages: DataFrame, sample: int = SAMPLE):
-    """The boosted trees of a bounded sample of teaching pages; None where nothing can be learned."""
+    """The boosted trees of a bounded sample of the pages that mark their article; None where nothing can be learned."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    total = pages.count()
+    marked = pages.where(text_of("html").rlike(MARKED))
+    total = marked.count()
     mark = F.xxhash64(F.col("page_id").cast("string"), F.lit("teach"))
-    some = pages.select(text_of("html").alias("html"), mark.alias("seed")).where(
+    some = marked.select(text_of("html").alias("html"), mark.alias("seed")).where(
         F.pmod("seed", F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(1, total))))
     rows = saved(some.mapInPandas(_teach, "x array<double>, y double"))
     if rows.select("y").distinct().count() < 2:

@@ -334,6 +334,14 @@ def test_pages():
     assert len({next((j for j in iter_up(parents, i) if not states[j]), None) is not None for i in inside}) <= 1
 
 
+def test_marked_pages_teach_however_rare(spark):
+    said = "The first part of it, with a comma. And more of it follows here."
+    plain = "<html><body><div><p>x</p></div></body></html>"
+    page = f"<html><body><nav><a href=x>menu</a></nav><ARTICLE class=a><h1>A</h1><p>{said}<p>{said}</ARTICLE><footer>f</footer></body></html>"
+    df = spark.createDataFrame([(i, page if i % 100 == 7 else plain) for i in range(3000)], "page_id long, html string")
+    assert html.learn(df, 30)  # 30 marked pages; a sample of 30 from all holds none
+
+
 def iter_up(parent, i):
     while i > 0:
         i = parent[i]
