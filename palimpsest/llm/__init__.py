@@ -4,3 +4,10 @@ Nothing outside this folder (and ``corpus_pipeline.py``) imports it. Every opera
 reads only the columns it names (others may be there, with any name), and leaves its lineage cuts in the shared
 folder of ``spark.checkpoint.dir``.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# executors need the libraries that a function uses, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
+from palimpsest.llm import bytebpe, exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,10 @@ def op6(spark, folder):
 @query("op5_html")
 def op5(spark, folder):
     return html.extract(table(spark, folder, "pages"))
+
+
+@query("op13_bytebpe")
+def op13(spark, folder):
+    encoded = bytebpe.encode_documents(table(spark, folder, "documents"))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bytebpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+                          F.sha2(bytebpe.decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
