@@ -187,19 +187,20 @@ def _counts(docs: DataFrame, pattern: str) -> DataFrame:
     return saved(docs.select(F.explode(words_of(text_of(), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")))
 
 
+def known_to_java(pattern: str, texts: DataFrame, column: str) -> str:
+    """The pattern for Java that cuts these texts as the library does, whatever code points this JVM does not know."""
+    unknown = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"\p{Cn}"), F.lit(0)))).alias("c")).distinct()
+    found = sorted(r.c for r in unknown.collect())  # at most the code points that this JVM does not know
+    kind = class_probe(pattern) if found else None
+    more = {k: "".join(rf"\x{{{ord(c):x}}}" for c in found if kind(c) == k) for k in "LN"}
+    return java_pattern(pattern, more["L"], more["N"])
+
+
 def counted_words(docs: DataFrame, pattern: str) -> tuple[DataFrame, str]:
     """Distinct words with their counts, and the pattern for Java that cuts them as the library does."""
-    java = java_pattern(pattern)
-    counts = _counts(docs, java)
-    unknown = counts.select(F.explode(F.regexp_extract_all("word", F.lit(r"\p{Cn}"), F.lit(0))).alias("c")).distinct()
-    found = sorted(r.c for r in unknown.collect())  # at most the code points that this JVM does not know
-    if found:
-        kind = class_probe(pattern)
-        more = {k: "".join(rf"\x{{{ord(c):x}}}" for c in found if kind(c) == k) for k in "LN"}
-        if any(more.values()):
-            java = java_pattern(pattern, more["L"], more["N"])
-            counts = _counts(docs, java)
-    return counts, java
+    counts = _counts(docs, java_pattern(pattern))
+    java = known_to_java(pattern, counts, "word")
+    return (counts if java == java_pattern(pattern) else _counts(docs, java)), java
 
 
 def frequent(counts: DataFrame, most: int = MEMO) -> DataFrame:

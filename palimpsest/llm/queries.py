@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bytebpe, exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, spelling, warc
+from palimpsest.llm import bytebpe, crosstoken, exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, spelling, warc
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,10 @@ chain AS (SELECT word, word AS root, form AS step FROM forms
 SELECT forms.word, n, n_near, form, form_n, root FROM forms JOIN chain ON chain.word = forms.word WHERE step IS NULL""")
 def op12(spark, folder):
     return spelling.variants(spelling.vocabulary(table(spark, folder, "documents")))
+
+
+@query("op11_crosstoken")
+def op11(spark, folder):
+    tokens = crosstoken.encode_both(table(spark, folder, "documents"))
+    rows = crosstoken.align_documents(tokens, crosstoken.pair_counts(tokens), groups_as=crosstoken.digest)
+    return rows.withColumnRenamed("groups", "groups_sha256")
