@@ -19,39 +19,28 @@ from pyspark.sql import functions as F
 
 from palimpsest.options import PAIR_MIN_DICE, SPLIT_MAX_PARTS, SPLIT_MIN
 
-# Above this many matrix bits (256 MB) one side is halved first.
-MATRIX_BITS = 1 << 31
+# Rows of the table held at a time, in bits (256 MB); beyond that, rows are kept at marks and the stretches between
+# two marks worked out again. The alignment does not depend on it.
+MATRIX_BITS, MARKS = 1 << 31, 32
 
 
-def _levels(a: list, b: list) -> list[int]:
-    """Bit i of the result's j-th entry is 0 where a[i] adds one to the common length of b[:j]."""
+def _places(a: list) -> dict:
+    """The places of every value of a, as bits."""
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v, out = full, [full]
+    return where
+
+
+def _table_rows(where: dict, b: list, v: int, full: int) -> Iterator[int]:
+    """Rows of the table after each entry of b, from the row v before it. Bit i of a row is 0 where a[i] adds one to
+    the common length with b up to there; a bit depends on lower ones only, so ``full`` may cut rows short."""
     for y in b:
         m = where.get(y, 0)
         if m:
             u = v & m
             v = ((v + u) | (v - u)) & full
-        out.append(v)
-    return out
-
-
-def _last_lengths(a: list, b: list) -> np.ndarray:
-    """Common-subsequence length of every prefix of a with the whole of b."""
-    where: dict = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    v = full
-    for y in b:
-        u = v & where.get(y, 0)
-        v = ((v + u) | (v - u)) & full
-    raw = np.frombuffer((full & ~v).to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8)
-    bits = np.unpackbits(raw, bitorder="little")[:len(a)]
-    return np.concatenate(([0], np.cumsum(bits, dtype=np.int64)))
+        yield v
 
 
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
@@ -64,44 +53,44 @@ def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     head = [(i, i) for i in range(lo)]
     tail = [(ha + k, hb + k) for k in range(len(a) - ha)]
     ma, mb = a[lo:ha], b[lo:hb]
-    if not ma or not mb:
-        mid = []
-    elif len(ma) * len(mb) > MATRIX_BITS:
-        mid = _halved(ma, mb)
-    else:
-        mid = _traced(ma, mb)
+    mid = _traced(ma, mb, MATRIX_BITS) if ma and mb else []
     return head + [(i + lo, j + lo) for i, j in mid] + tail
 
 
-def _traced(a: list, b: list) -> list[tuple[int, int]]:
-    rows = _levels(a, b)
-    i, j, out = len(a), len(b), []
-    while i and j:
-        bit = 1 << (i - 1)
-        if rows[j] & bit:
-            i -= 1
-        elif not rows[j - 1] & bit:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+def _traced(a: list, b: list, bits: int) -> list[tuple[int, int]]:
+    """One walk back through the table, whichever part of it is held."""
+    where, out = _places(a), []
+
+    def back(lo: int, hi: int, v: int, i: int) -> int:
+        """Walks from (i, hi) to column lo, whose row is v; returns the place in a reached there."""
+        full = (1 << i) - 1
+        v &= full
+        if (hi - lo) * i > bits and hi - lo > 1:
+            step = -(-(hi - lo) // MARKS)
+            marks = [(lo, v)]
+            for at in range(lo + step, hi, step):
+                for v in _table_rows(where, b[at - step:at], v, full):
+                    pass
+                marks.append((at, v))
+            for at, v in reversed(marks):
+                i = back(at, min(at + step, hi), v, i)
+            return i
+        rows, j = [v, *_table_rows(where, b[lo:hi], v, full)], hi
+        while i and j > lo:
+            if rows[j - lo] >> (i - 1) & 1:
+                i -= 1
+            elif not rows[j - 1 - lo] >> (i - 1) & 1:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+        return i
+
+    back(0, len(b), (1 << len(a)) - 1, len(a))
     out.reverse()
     return out
 
 
-def _halved(a: list, b: list) -> list[tuple[int, int]]:
-    """Linear-space step: the best split of a for the two halves of b."""
-    if len(b) == 1:
-        return [(a.index(b[0]), 0)] if b[0] in a else []
-    h = len(b) // 2
-    fwd = _last_lengths(a, b[:h])
-    bwd = _last_lengths(a[::-1], b[h:][::-1])[::-1]
-    k = int(np.argmax(fwd + bwd))
-    left = common_subsequence(a[:k], b[:h])
-    right = common_subsequence(a[k:], b[h:])
-    return left + [(i + k, j + h) for i, j in right]
-
-
 # ---- token scripts ----------------------------------------------------------
 # A token's info is 4·length + 1 for white space, + 2 for a cell break.
 

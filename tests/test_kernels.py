@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from palimpsest.functions import kernels as K
 
 
@@ -29,13 +31,48 @@ def test_common_subsequence_is_longest():
         check_matches(a, b, K.common_subsequence(a, b))
 
 
-def test_linear_space_split_is_longest_too(monkeypatch):
-    monkeypatch.setattr(K, "MATRIX_BITS", 20)
+def table_walk(a, b):
+    """The plain table, walked back from its end: up while the length stays, then left, else a match."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if n[i][j] == n[i - 1][j]:
+            i -= 1
+        elif n[i][j] == n[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
+@pytest.mark.parametrize("bits", [1 << 31, 400, 20, 1])
+def test_memory_does_not_change_the_alignment(monkeypatch, bits):
+    monkeypatch.setattr(K, "MATRIX_BITS", bits)
+    monkeypatch.setattr(K, "MARKS", 3)
     rnd = random.Random(2)
-    for _ in range(200):
-        a = [rnd.randrange(4) for _ in range(rnd.randrange(40))]
-        b = [rnd.randrange(4) for _ in range(rnd.randrange(40))]
-        check_matches(a, b, K.common_subsequence(a, b))
+    for _ in range(1000):
+        values = rnd.choice([2, 4, 9])
+        a, b = ([rnd.randrange(values) for _ in range(rnd.randrange(60))] for _ in range(2))
+        lo = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        end = next((i for i, (x, y) in enumerate(zip(a[lo:][::-1], b[lo:][::-1])) if x != y), min(len(a), len(b)) - lo)
+        ma, mb = a[lo:len(a) - end], b[lo:len(b) - end]
+        want = [(i, i) for i in range(lo)] + [(i + lo, j + lo) for i, j in table_walk(ma, mb)] + [(len(a) - end + k, len(b) - end + k) for k in range(end)]
+        got = K.common_subsequence(a, b)
+        check_matches(a, b, got)
+        assert got == want
+
+
+def test_large_sides_within_the_limit(monkeypatch):
+    rnd = random.Random(5)
+    a = [rnd.randrange(300) for _ in range(3000)]
+    b = [x for x in a if rnd.random() < .8] + [rnd.randrange(300) for _ in range(500)]
+    whole = K.common_subsequence(a, b)
+    monkeypatch.setattr(K, "MATRIX_BITS", 100_000)
+    assert K.common_subsequence(a, b) == whole
 
 
 def test_stretches_cover_both_sides():
