@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import fingerprint as fp, library as lib
 from palimpsest.options import MATCH_MIN, TIE_GAP
+from palimpsest.session import written
 from palimpsest.plans import revisions
 from palimpsest.plans.catalog import Tables, query
 from palimpsest.plans.inputs import WS_SQL, cte, iso, iso_sql, lines, q, with_
@@ -82,10 +83,11 @@ cte("arr_ranked", """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s
     lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, ver_id) AS nx FROM arr_scores""", "arr_scores")
 
 
-def _library_match(t: Tables, least: float = MATCH_MIN - TIE_GAP):
-    c = _classes(t)
+def _library_match(t: Tables, top: int, least: float = MATCH_MIN - TIE_GAP, key: str = "doc_id"):
+    c = written(_classes(t))
     odd, even = c.filter("doc_id % 2 = 1"), c.filter("doc_id % 2 = 0")
-    m = fp.match_classes(fp.class_sets(odd), fp.class_sets(even), least)
+    keys = even.select("cls", F.expr(key).alias("key"), F.col("doc_id").alias("ver_id"))
+    m = fp.best_matches(fp.class_sets(odd), fp.class_sets(even), keys, top, least)
     docs = odd.select("doc_id", F.col("cls").alias("doc_cls"))
     return m, even.select("cls", F.col("doc_id").alias("ver_id")), docs
 
@@ -93,14 +95,14 @@ def _library_match(t: Tables, least: float = MATCH_MIN - TIE_GAP):
 @query("tk2_ranked_versions", with_("arr_ranked", """SELECT doc_id, CAST(rk AS INTEGER) AS rank, ver_id, round(score, 6) AS score
     FROM arr_ranked WHERE rk <= 3 AND score >= 0.5"""))
 def _(t: Tables) -> DataFrame:
-    m, members, docs = _library_match(t, MATCH_MIN)
+    m, members, docs = _library_match(t, 3, MATCH_MIN)
     return docs.join(fp.rank_versions(m, members, 3), "doc_cls").select("doc_id", "rank", "ver_id", F.round("score", 6).alias("score"))
 
 
 @query("jn13_best_version", with_("arr_ranked", """SELECT doc_id, ver_id, round(score, 6) AS score,
     coalesce(score - nx < 0.02, false) AS tie FROM arr_ranked WHERE rk = 1 AND score >= 0.5"""))
 def _(t: Tables) -> DataFrame:
-    m, members, docs = _library_match(t)
+    m, members, docs = _library_match(t, 2)
     p = fp.pick_version(fp.rank_versions(m, members, 2))
     return docs.join(p, "doc_cls").select("doc_id", "ver_id", F.round("score", 6).alias("score"), "tie")
 
@@ -112,7 +114,7 @@ cte("thr_best", """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sco
 
 
 def _thread_match(t: Tables) -> DataFrame:
-    m, members, docs = _library_match(t, MATCH_MIN)
+    m, members, docs = _library_match(t, 2, MATCH_MIN, "doc_id div 20")
     got = fp.match_threads(m, members.withColumn("thread", F.expr("ver_id div 20")))
     return docs.join(got, "doc_cls")
 
@@ -132,17 +134,18 @@ def _(t: Tables) -> DataFrame:
         WHERE score >= 0.5 AND ver_id % 4 = 2 GROUP BY doc_id) b ON a.doc_id = b.doc_id"""))
 def _(t: Tables) -> DataFrame:
     """Documents 0, 4, 8, … are in threads, 2, 6, 10, … are templates."""
-    c = _classes(t)
+    c = written(_classes(t))
     odd = c.filter("doc_id % 2 = 1")
     docs = odd.select("doc_id", F.col("cls").alias("doc_cls"))
     sets = fp.class_sets(odd)
 
-    def part(r: int):
+    def part(r: int, key: str):
         some = c.filter(F.col("doc_id") % 4 == r)
-        return fp.match_classes(sets, fp.class_sets(some)), some.select("cls", F.col("doc_id").alias("ver_id"))
+        keys = some.select("cls", F.expr(key).alias("key"), F.col("doc_id").alias("ver_id"))
+        return fp.best_matches(sets, fp.class_sets(some), keys, 2), some.select("cls", F.col("doc_id").alias("ver_id"))
 
-    m0, in_threads = part(0)
-    m2, in_templates = part(2)
+    m0, in_threads = part(0, "doc_id div 20")
+    m2, in_templates = part(2, "doc_id")
     th = docs.join(fp.match_threads(m0, in_threads.withColumn("thread", F.expr("ver_id div 20"))), "doc_cls")
     tp = docs.join(fp.pick_version(fp.rank_versions(m2, in_templates, 2)), "doc_cls")
     return fp.home_match(th, tp).select("doc_id", "source", "target")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import align, changes as ch, fingerprint as fp
 from palimpsest.operators.tokens import plain_blocks
-from palimpsest.options import MATCH_MIN, CompareOptions
+from palimpsest.options import CompareOptions
 from palimpsest.plans import compare as cp
-from palimpsest.session import checkpoint
+from palimpsest.session import checkpoint, written
 
 
 def revision_pairs(docs: DataFrame) -> DataFrame:
@@ -20,8 +20,9 @@ def revision_pairs(docs: DataFrame) -> DataFrame:
     """
     lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
     c = fp.classes(fp.fingerprints(fp.paragraph_hashes(lines, ["doc_id"]), ["doc_id"]))
-    one = c.groupBy("cls").agg(F.min("doc_id").alias("ver_id"), F.first("fp").alias("fp"))
-    m = fp.match_classes(one, one, MATCH_MIN).filter("doc_cls <> ver_cls")
+    one = written(c.groupBy("cls").agg(F.min("doc_id").alias("ver_id"), F.first("fp").alias("fp")))
+    keys = one.select("cls", F.col("ver_id").alias("key"), "ver_id")
+    m = fp.best_matches(one, one, keys, 2).filter("doc_cls <> ver_cls")  # the best one may be the document itself
     best = fp.rank_versions(m, one.select("cls", "ver_id"), 1)
     mine = one.select(F.col("cls").alias("doc_cls"), F.col("ver_id").alias("doc_id"))
     p = best.join(mine, "doc_cls").select(F.least("doc_id", "ver_id").alias("doc_a"), F.greatest("doc_id", "ver_id").alias("doc_b"), "score")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +38,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back, for what several later steps read: its size is known then."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def until_settled(start: DataFrame, step: Callable[[DataFrame], DataFrame], moved: Callable[[DataFrame], DataFrame],
                   cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Doubles steps until no row of ``moved`` is left, or until more steps were made than there are rows
