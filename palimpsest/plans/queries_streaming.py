@@ -27,14 +27,14 @@ def _drain(q) -> None:
 def _(t: Tables) -> DataFrame:
     """Even documents are the library, twenty to a thread; the odd ones arrive as a stream."""
     even = fp.classes(fp.fingerprints(fp.paragraph_hashes(lines(t).filter("doc_id % 2 = 0"), ["doc_id"]), ["doc_id"]))
-    members = even.select("cls", F.expr("doc_id div 20").alias("thread"), F.col("doc_id").alias("ver_id"))
-    docs = lambda d: d.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.lit("2026-01-01").alias("added"), "text")
-    base = docs(t.documents.filter("doc_id % 2 = 0")).select(
+    docs = lambda d, added: d.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("sha"), F.lit(added).alias("added"), "text")
+    library = even.select(F.col("doc_id").alias("id"), F.lit("2026-01-01").alias("added"), F.expr("doc_id div 20").alias("thread"), "fp", "cls")
+    base = docs(t.documents.filter("doc_id % 2 = 0"), "2026-01-01").select(
         F.expr("id div 20").alias("thread"), "id", "sha", "added", F.expr("cast(id % 20 div 2 + 1 as int)").alias("n"))
     work = sj.work_folder(t.spark, "arrivals")
-    _drain(sj.follow_arrivals(docs(stream(t, "documents").filter("doc_id % 2 = 1")), members, fp.class_sets(even), base,
+    _drain(sj.follow_arrivals(docs(stream(t, "documents").filter("doc_id % 2 = 1"), "2026-01-02"), library, base,
                               f"{work}/store", f"{work}/checkpoint", once=True))
-    return sj.read_store(t.spark, f"{work}/store", sj.VERSION).select("thread", "id", "n")
+    return sj.read_store(t.spark, f"{work}/store/versions", sj.VERSION).select("thread", "id", "n")
 
 
 # ---- file changes -------------------------------------------------------------------------------------

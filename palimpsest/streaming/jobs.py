@@ -16,8 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import IntegerType, StructType
 
 from palimpsest.operators import fingerprint as fp, library as lib
-from palimpsest.options import MATCH_MIN
-from palimpsest.session import shared_folder
+from palimpsest.session import shared_folder, until_settled, written
 
 DEBOUNCE, ROUND_PAUSE, UNDO = "700 milliseconds", "600 milliseconds", "10 seconds"
 
@@ -60,28 +59,88 @@ def start(stream: DataFrame, each_batch, checkpoint: str, mode: str = "append",
 # ---- arriving versions --------------------------------------------------------------------------------
 
 VERSION = "thread bigint, id bigint, sha string, added string, n int"
+# The index: the paragraph sets of all versions, each once with its earliest version, and what paragraphs they hold.
+SETS = "cls string, fp array<bigint>, added string, id bigint, thread bigint"
+PARAGRAPHS = "h bigint, cls string"
+BUCKETS = 64
 
 
-def place_arrivals(arrivals: DataFrame, members: DataFrame, sets: DataFrame, versions: DataFrame) -> DataFrame:
-    """versions(thread, id, sha, added, n) of arriving documents (id, sha, added, text): matched to a thread
-    by fingerprint, numbered onwards, content the thread already has is skipped.
+def _bucket(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
 
-    members: cls, thread, ver_id; sets: cls, fp of the library; versions: the known ones.
+
+def index_rows(fps: DataFrame) -> DataFrame:
+    """sets of versions(id, added, thread, fp, cls): of each paragraph set the earliest version."""
+    first = fps.groupBy("cls").agg(F.min(F.struct("added", "id", "thread")).alias("m"), F.first("fp").alias("fp"))
+    return first.select("cls", "fp", "m.added", "m.id", "m.thread")
+
+
+def append_index(sets: DataFrame, store: str, batch_id: int) -> None:
+    append_batch(sets, f"{store}/sets", batch_id)
+    held = sets.select(F.explode("fp").alias("h"), "cls").withColumn("bucket", _bucket(F.col("h")))
+    held.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store}/paragraphs/batch={batch_id}")
+
+
+def related_sets(hashes: DataFrame, store: str, batch_id: int) -> DataFrame:
+    """Sets of earlier batches that hold one of the paragraphs (h) at least. Only the paragraphs' buckets are read."""
+    spark = hashes.sparkSession
+    held = read_store(spark, f"{store}/paragraphs", StructType.fromDDL(PARAGRAPHS).add("bucket", IntegerType())).filter(F.col("batch") < batch_id)
+    asked = hashes.select("h", _bucket(F.col("h")).alias("bucket")).distinct()
+    some = held.join(asked, ["bucket", "h"], "left_semi").select("cls").distinct()
+    sets = read_store(spark, f"{store}/sets", SETS).filter(F.col("batch") < batch_id).drop("batch")
+    return sets.join(some, "cls", "left_semi")
+
+
+def place_arrivals(arrivals: DataFrame, store: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """(placed(thread, id, sha, added), sets) of arriving documents (id, sha, added, text).
+
+    A document follows the earlier version, of the library or an arrival, that it holds most of (of equal ones the
+    earliest); it belongs to the thread of that one. One that follows none begins a thread, named by its id below
+    zero. What is earlier is told by (added, id), so the result does not depend on how arrivals fall into batches, as
+    long as batches keep that order. ``sets`` are the paragraph sets that are new.
     """
     lines = arrivals.select("id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    c = fp.classes(fp.fingerprints(fp.paragraph_hashes(lines, ["id"]), ["id"]))
-    got = fp.match_threads(fp.match_classes(fp.class_sets(c), sets, MATCH_MIN), members)
-    placed = c.select("id", F.col("cls").alias("doc_cls")).join(got.select("doc_cls", "thread"), "doc_cls") \
-        .join(arrivals.select("id", "sha", "added"), "id").select("thread", "id", "sha", "added")
-    return lib.new_versions(placed, versions).select("thread", "id", "sha", "added", F.col("n").cast("int").alias("n"))
-
+    sized = fp.classes(fp.fingerprints(fp.paragraph_hashes(lines, ["id"]), ["id"]))
+    mine = written(arrivals.select("id", "sha", "added").join(sized, "id", "left"))
+    docs = written(fp.class_sets(mine.filter("cls is not null")))
+    first = mine.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("added", "id")).alias("first"))
+    older = written(related_sets(docs.select(F.explode("fp").alias("h")), store, batch_id))
+    keys = older.select("cls", F.struct("added", "id").alias("key"), F.col("id").alias("ver_id"))
+    # all of the index is earlier than the batch, so its best set is enough; within the batch the order decides
+    known = fp.best_matches(docs, older.select("cls", "fp"), keys, 1).join(older.select(F.col("cls").alias("ver_cls"), F.struct("added", "id").alias("first"), "thread"), "ver_cls")
+    fresh = fp.match_classes(docs, docs).join(first.withColumnRenamed("cls", "ver_cls"), "ver_cls").withColumn("thread", F.lit(None).cast("long"))
+    found = mine.join(known.select("doc_cls", "score", "first", "thread").union(fresh.select("doc_cls", "score", "first", "thread"))
+                      .withColumnRenamed("doc_cls", "cls"), "cls").filter(F.col("first") < F.struct("added", "id"))
+    parent = found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("neg"), F.col("first"), "thread")).alias("m"))
+    # a thread, or the arrival of this batch to follow
+    at = mine.select("id").join(parent, "id", "left").select(
+        "id", F.when(F.col("m").isNull(), -F.col("id") - 1).otherwise(F.col("m.thread")).alias("thread"), F.col("m.first.id").alias("up"))
+
+    def step(now: DataFrame) -> DataFrame:
+        above = now.select(F.col("id").alias("up"), F.col("thread").alias("_t"), F.col("up").alias("_up"))
+        return now.join(above, "up", "left").select("id", F.coalesce("thread", "_t").alias("thread"), F.coalesce("_up", "up").alias("up"))
+    settled = until_settled(at, step, lambda now: now.filter("thread is null"), written)
+    placed = mine.join(settled.select("id", "thread"), "id")
+    new = placed.filter("cls is not null").join(older.select("cls"), "cls", "left_anti")
+    return placed.select("thread", "id", "sha", "added"), index_rows(new)
+
+
+def follow_arrivals(stream: DataFrame, library: DataFrame, base: DataFrame, store: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Appends every arriving version to the store and its paragraphs to the index.
+
+    library: id, added, thread, fp, cls of the versions there are; base: them as versions(thread, id, sha, added, n).
+    """
+    spark = stream.sparkSession
+    if read_store(spark, f"{store}/sets", SETS).isEmpty():
+        append_index(written(index_rows(library)), store, -1)
 
-def follow_arrivals(stream: DataFrame, members: DataFrame, sets: DataFrame, base: DataFrame, store: str,
-                    checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Appends every arriving version to the store."""
     def batch(df: DataFrame, batch_id: int) -> None:
-        known = read_store(df.sparkSession, store, VERSION).filter(F.col("batch") < batch_id).drop("batch")
-        append_batch(place_arrivals(df, members, sets, base.unionByName(known)), store, batch_id)
+        placed, sets = place_arrivals(df, store, batch_id)
+        placed, sets = written(placed), written(sets)
+        known = read_store(df.sparkSession, f"{store}/versions", VERSION).filter(F.col("batch") < batch_id).drop("batch")
+        theirs = base.unionByName(known).join(placed.select("thread").distinct(), "thread", "left_semi")
+        append_index(sets, store, batch_id)
+        append_batch(lib.new_versions(placed, theirs).select("thread", "id", "sha", "added", F.col("n").cast("int").alias("n")), f"{store}/versions", batch_id)
 
     return start(stream, batch, checkpoint, once=once)
 
