@@ -225,11 +225,10 @@ def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str | None = N
     sent = spark.sparkContext.broadcast({"known": to_ipc(known)})
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", words_of(text_of(), java).alias("words"))
-            .mapInArrow(lambda batches: from_memo(batches, sent), f"doc_id {kind}, ids array<int>, rest array<string>"))
-    rest = F.transform("rest", enc.word)
-    whole = F.flatten(F.transform("ids", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(F.col("rest"), -1 - i))))
-    return (rows.select("doc_id", "ids", F.when(F.size("rest") > 0, rest).alias("rest"))
-            .select("doc_id", F.when(F.col("rest").isNull(), F.col("ids")).otherwise(whole).alias("ids")))
+            .mapInArrow(lambda batches: from_memo(batches, sent), f"doc_id {kind}, runs array<array<int>>, rest array<string>"))
+    rest = F.col("rest")
+    whole = F.flatten(F.transform("runs", lambda run, i: F.when(i < F.size(rest), F.concat(run, enc.word(F.get(rest, i)))).otherwise(run)))
+    return rows.select("doc_id", whole.alias("ids"))
 
 
 def to_ipc(table: pa.Table) -> bytes:
@@ -240,13 +239,13 @@ def to_ipc(table: pa.Table) -> bytes:
 
 
 def from_memo(batches, sent):
-    """Words of each row → ids of the known words in their places, -1 - k for the k-th unknown one, and those.
+    """Words of each row → the ids of the known words in runs, and the unknown words that stand between the runs.
 
     Rows are taken some ``WORDS`` words at a time, which bounds a worker's memory only.
     """
     table = pa.ipc.open_stream(sent.value["known"]).read_all().combine_chunks()
-    known = table.column("word").combine_chunks()
-    lists = table.column("ids").combine_chunks()
+    known = table.column("word").combine_chunks() if len(table) else pa.array([], pa.string())
+    lists = table.column("ids").combine_chunks() if len(table) else pa.array([[0]], pa.list_(pa.int32()))
     starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     for batch in batches:
         words = batch.column("words")
@@ -258,36 +257,36 @@ def from_memo(batches, sent):
             mine = words.values.slice(ends[at], cut[-1])
             place = pc.fill_null(pc.index_in(mine, known), -1).to_numpy().astype(np.int64)
             lost = np.flatnonzero(place < 0)
-            # the k-th unknown word of each row, its row being that of its place
-            row = np.searchsorted(cut, lost, side="right") - 1
-            first = np.searchsorted(lost, cut)
-            length = np.where(place < 0, 1, starts[place + 1] - starts[place]) if len(starts) > 1 else np.ones(len(place), np.int64)
+            length = np.where(place < 0, 0, starts[place + 1] - starts[place])
             offsets = np.concatenate(([0], np.cumsum(length)))
-            from_ = np.repeat(np.where(place < 0, 0, starts[place]) - offsets[:-1], length) + np.arange(offsets[-1])
-            ids = flat[from_].astype(np.int32) if len(flat) else np.zeros(offsets[-1], np.int32)
-            ids[offsets[lost]] = -1 - (np.arange(len(lost)) - first[row])
+            ids = flat[np.repeat(starts[place] - offsets[:-1], length) + np.arange(offsets[-1])]
+            # a run ends at each unknown word and at the end of each row
+            first = np.searchsorted(lost, cut)
+            run_ends = np.concatenate(([0], offsets[np.sort(np.concatenate((lost, cut[1:])), kind="stable")]))
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(at, to - at),
-                pa.ListArray.from_arrays(pa.array(offsets[cut].astype(np.int32)), pa.array(ids)),
-                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), mine.take(pa.array(lost)))], names=["doc_id", "ids", "rest"])
+                pa.ListArray.from_arrays(pa.array((first + np.arange(len(cut))).astype(np.int32)),
+                                         pa.ListArray.from_arrays(pa.array(run_ends.astype(np.int32)), pa.array(ids))),
+                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), mine.take(pa.array(lost)))], names=["doc_id", "runs", "rest"])
             at = to
+        del batch, words, mine
+
+
+def _by_id(ids: Column, values: list[str | None]) -> Column:
+    """The joined hexadecimal values of ids as bytes; null if an id has none."""
+    table = F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "", "none"))
 
 
 def decode_ids(ids: Column, path: str = RANKS) -> Column:
-    """Ids → the bytes they stand for (null for an id that is not in the vocabulary)."""
+    """Ids → the bytes they stand for (null where an id is not in the vocabulary)."""
     ranks = read_ranks(path)
-    pieces = [None] * (max(ranks.values()) + 1)
+    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    table = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    parts = F.transform(ids, lambda i: F.get(table, i))
-    return F.when(~F.exists(parts, lambda p: p.isNull()), F.unhex(F.array_join(parts, "")))
-
-
-def little_endian(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers, one after another."""
-    order = lambda i: F.lpad(F.hex(F.shiftleft(i.bitwiseAND(F.lit(255)), 24).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-                                   .bitwiseOR(F.shiftleft(i.bitwiseAND(F.lit(0xFF00)), 8))
-                                   .bitwiseOR(F.shiftright(i, 8).bitwiseAND(F.lit(0xFF00)))
-                                   .bitwiseOR(F.shiftrightunsigned(i, 24).cast("long"))), 8, "0")
-    return F.unhex(F.array_join(F.transform(ids, order), ""))
+    return _by_id(ids, pieces)
+
+
+def little_endian(ids: Column, size: int) -> Column:
+    """Ids below ``size`` as little-endian unsigned 32-bit integers, one after another."""
+    return _by_id(ids, [i.to_bytes(4, "little").hex() for i in range(size)])

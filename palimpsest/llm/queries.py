@@ -89,7 +89,7 @@ def op5(spark, folder):
 @query("op13_bytebpe")
 def op13(spark, folder):
     encoded = bytebpe.encode_documents(table(spark, folder, "documents"))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bytebpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bytebpe.little_endian(F.col("ids"), 1 << 16), 256).alias("ids_sha256"),
                           F.sha2(bytebpe.decode_ids(F.col("ids")), 256).alias("decoded_sha256"))
 
 
