@@ -32,8 +32,8 @@ from palimpsest.llm.bytebpe import default_pattern, frequent, known_to_java, wor
 from palimpsest.llm.common import saved, text_of
 
 A, B = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-# Both bound a worker's memory only: tokens or words handled at a time, and pairs it keeps.
-STEP, MEMO = 400_000, 1 << 20
+# They bound a worker's memory only: words encoded and tokens linked at a time, and pairs it keeps.
+WORDS, STEP, MEMO = 300_000, 150_000, 1 << 20
 
 
 # --- vocabularies ------------------------------------------------------------------------------------------------
@@ -77,7 +77,10 @@ def _by_words(words: pa.ListArray, encode) -> pa.ListArray:
 
 
 def encode_both(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
-    """Documents (doc_id, text) → (key, doc_id, a, b): token ids, empty where the bytes do not agree. Written."""
+    """Documents (doc_id, text) → (key, doc_id, a, b): packed token ids, empty where the bytes do not agree. Written.
+
+    Ids are packed as little-endian unsigned integers of two bytes (four for vocabularies that need them).
+    """
     model_a, model_b = Path(a).read_text(), Path(b).read_bytes()
     sent = docs.sparkSession.sparkContext.broadcast({"a": model_a, "b": model_b, "bytes_a": bytes_of_a(model_a), "bytes_b": bytes_of_b(model_b)})
     java = known_to_java(default_pattern(), docs.select(text_of().alias("t")), "t")
@@ -95,20 +98,26 @@ def encode_both(docs: DataFrame, a: str = A, b: str = B) -> DataFrame:
             ends = batch.column("words").offsets.to_numpy()
             at = 0
             while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, side="right")) - 1)
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS, side="right")) - 1)
                 rows = batch.slice(at, to - at)
-                texts = rows.column("text")
+                want = pc.binary_join(_binary(rows.column("words")), b"")  # the blank and the text
+                texts = pc.utf8_slice_codeunits(want.cast(pa.string()), 1)
                 ids_a = _by_words(rows.column("words"), lambda ws: [e.ids for e in tk.encode_batch_fast(ws, add_special_tokens=False)])
                 ids_b = _lists(sp.encode(texts.to_pylist(), num_threads=1))
-                want = pc.binary_join_element_wise(pa.scalar(b" ", pa.binary()), texts.cast(pa.binary()), pa.scalar(b"", pa.binary()))
                 fine = pc.not_equal(texts, "")
                 for ids, of in ((ids_a, bytes_a), (ids_b, bytes_b)):
                     fine = pc.and_(fine, pc.equal(pc.binary_join(pa.ListArray.from_arrays(ids.offsets, of.take(ids.values)), b""), want))
                 fine = fine.to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(_keep(ids, fine) for ids in (ids_a, ids_b))], names=["doc_id", "a", "b"])
+                packed = (_pack(_keep(ids, fine), len(of)) for ids, of in ((ids_a, bytes_a), (ids_b, bytes_b)))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *packed], names=["doc_id", "a", "b"])
                 at = to
-    rows = docs.select("doc_id", text_of().alias("text"), words_of(F.concat(F.lit(" "), text_of()), java).alias("words"))
-    return saved(rows.mapInArrow(run, f"doc_id {kind}, a array<int>, b array<int>").withColumn("key", F.monotonically_increasing_id()))
+            del batch, rows
+    rows = docs.select("doc_id", words_of(F.concat(F.lit(" "), text_of()), java).alias("words"))
+    return saved(rows.mapInArrow(run, f"doc_id {kind}, a binary, b binary").withColumn("key", F.monotonically_increasing_id()))
+
+
+def _binary(words: pa.ListArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(words.offsets, words.values.cast(pa.binary()))
 
 
 def _keep(ids: pa.ListArray, fine: np.ndarray) -> pa.ListArray:
@@ -119,6 +128,24 @@ def _keep(ids: pa.ListArray, fine: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes * fine))).astype(np.int32)), kept)
 
 
+def _width(size: int) -> np.dtype:
+    return np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+
+
+def _pack(ids: pa.ListArray, size: int) -> pa.BinaryArray:
+    kind, ends = _width(size), ids.offsets.to_numpy()
+    data = ids.values.to_numpy()[ends[0]:ends[-1]].astype(kind)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(((ends - ends[0]) * kind.itemsize).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _unpack(packed: pa.BinaryArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the rows' ids, and all ids."""
+    kind = _width(size)
+    _, ends, data = packed.buffers()
+    ends = np.frombuffer(ends, np.int32)[packed.offset:packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int32)
+    return ends // kind.itemsize, np.frombuffer(data, kind) if data is not None and data.size else np.zeros(0, kind)
+
+
 # --- groups and links --------------------------------------------------------------------------------------------
 
 class Links:
@@ -165,14 +192,13 @@ def group_texts(links: Links, a: np.ndarray, b: np.ndarray, rows: int, texts: pa
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts.take(pa.array(mark * (len(texts) // 4) + ids))), "")
 
 
-def _pieces(batch: pa.RecordBatch):
+def _pieces(batch: pa.RecordBatch, *sizes: int):
     """Parts of a batch of token lists, some ``STEP`` tokens each: first row, rows, and both sides' ids and rows."""
-    ends = [batch.column(side).offsets.to_numpy() for side in "ab"]
-    values = [batch.column(side).values.to_numpy(zero_copy_only=False) for side in "ab"]
+    ends, values = zip(*(_unpack(batch.column(side), size) for side, size in zip("ab", sizes)))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends[0], ends[0][at] + STEP, side="right")) - 1)
-        ids = [v[e[at]:e[to]] for v, e in zip(values, ends)]
+        ids = [v[e[at]:e[to]].astype(np.int64) for v, e in zip(values, ends)]
         rows = [np.repeat(np.arange(to - at), np.diff(e[at:to + 1])) for e in ends]
         yield at, to - at, *ids, *rows
         at = to
@@ -191,9 +217,11 @@ def pair_counts(tokens: DataFrame, a: str = A, b: str = B) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for _, _, *part in _pieces(batch):
-                pair, n = np.unique(Links(*part, sent.value["a"], sent.value["b"]).pair, return_counts=True)
+            sizes = sent.value["a"], sent.value["b"]
+            for _, _, *part in _pieces(batch, *map(len, sizes)):
+                pair, n = np.unique(Links(*part, *sizes).pair, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], names=["pair", "n"])
+            del batch, part
     counts = saved(tokens.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
     id_b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
     top = counts.groupBy(id_b.alias("id_b")).agg(F.max("n").alias("top"))
@@ -217,7 +245,7 @@ def align_documents(tokens: DataFrame, counts: DataFrame, a: str = A, b: str = B
         size_a, size_b = table["a"], table["b"]
         texts = _tables(max(len(size_a), len(size_b)))
         for batch in batches:
-            for at, rows, ids_a, ids_b, row_a, row_b in _pieces(batch):
+            for at, rows, ids_a, ids_b, row_a, row_b in _pieces(batch, len(size_a), len(size_b)):
                 links = Links(ids_a, ids_b, row_a, row_b, size_a, size_b)
                 place = np.searchsorted(table["pair"], links.pair)
                 hit = np.zeros(len(place), bool)
