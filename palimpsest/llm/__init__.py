@@ -5,9 +5,11 @@ reads only the columns it names (others may be there, with any name), and leaves
 folder of ``spark.checkpoint.dir``.
 """
 
-import sys
+import importlib
 
 from pyspark import cloudpickle
 
-# executors need the libraries that a function uses, not this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Executors need the libraries that a function uses, not this package. ``pieces`` alone keeps its lattice in the
+# worker's module between tasks, so it has to be installed there.
+for _name in ("bytebpe", "crosstoken", "html", "nearvec", "quality", "shard", "simhash", "warc"):
+    cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))
