@@ -322,10 +322,10 @@ def learn(pages: DataFrame, sample: int = SAMPLE):
     from pyspark.ml.functions import array_to_vector
 
     marked = pages.where(text_of("html").rlike(MARKED))
-    total = marked.count()
     mark = F.xxhash64(F.col("page_id").cast("string"), F.lit("teach"))
-    some = marked.select(text_of("html").alias("html"), mark.alias("seed")).where(
-        F.pmod("seed", F.lit(1_000_003)) < int(1_000_003 * min(1.0, sample / max(1, total))))
+    # the pages of the smallest marks, whatever the number of pages
+    last = marked.select(mark.alias("seed")).orderBy("seed").limit(sample).agg(F.max("seed")).first()[0]
+    some = marked.select(text_of("html").alias("html"), mark.alias("seed")).where(F.col("seed") <= F.lit(last).cast("long"))
     rows = saved(some.mapInPandas(_teach, "x array<double>, y double"))
     if rows.select("y").distinct().count() < 2:
         return None
