@@ -123,15 +123,31 @@ def _(t: Tables) -> DataFrame:
     return la.classify(p).select("doc_id", "pos", "kind", "level", F.regexp_extract("text", la.BULLET_RE, 1).alias("mark"))
 
 
-@query("wn11_assembled_lines")
+@query("wn11_assembled_lines", with_("lines", """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS line,
+    CAST(pos // 20 + 1 AS INTEGER) AS page, text, contains(text, chr(9)) AS cols, CAST(n AS INTEGER) AS n_runs, 10.5 AS size FROM (
+      SELECT doc_id, pos, len(w) + CASE WHEN h % 5 = 1 AND len(w) > 1 THEN 1 ELSE 0 END AS n, array_to_string(list_transform(w, lambda x, i:
+        CASE WHEN i = 1 THEN '' WHEN w[i - 1] = '|' AND NOT (i = 2 AND h % 5 = 1) THEN chr(9) ELSE ' ' END || x), '') AS text
+      FROM (SELECT *, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines)) WHERE n > 0"""))
 def _(t: Tables) -> DataFrame:
-    """Words of a line as text items on one baseline, with column gaps for bars."""
-    words = lines(t).select("doc_id", "pos", F.posexplode(F.split("line", " ")).alias("i", "str"))
-    w = Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    x = F.coalesce(F.sum(F.length("str") * 5.0 + F.when(F.col("str") == "|", 20.0).otherwise(3.0)).over(w), F.lit(0.0)) + 72.0
-    items = words.select("doc_id", F.expr("pos div 20 + 1").cast("int").alias("page"), (F.col("pos") * 10000 + F.col("i")).alias("ix"), "str", x.alias("x"),
-                         (800.0 - F.col("pos") % 20 * 14.0).alias("y"), F.lit(10.5).alias("size"), (F.length("str") * 5.0).alias("width"))
-    return la.assemble_lines(items).select("doc_id", "line", "page", "text", "cols")
+    """Words of a line as text items on one baseline, with wide gaps after bars; in every fifth line the first
+    gap is an item of its own, after every sixth line stands a raised two-digit reference in two pieces."""
+    words = lines(t).select("doc_id", "pos", "h", F.posexplode(F.filter(F.split("line", " "), lambda s: s != "")).alias("i", "str"))
+    w = Window.partitionBy("doc_id", "pos").orderBy("i")
+    own = (F.col("h") % 5 == 1) & (F.col("i") == 0)
+    gap = F.when((F.col("str") == "|") & ~own, 20.0).otherwise(3.0)
+    x = F.coalesce(F.sum(F.length("str") * 5.0 + gap).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + 72.0
+    y = 800.0 - F.col("pos") % 20 * 14.0
+    words = words.withColumn("x", x).withColumn("width", F.length("str") * 5.0).withColumn("last", F.lead("i").over(w).isNull())
+    end = F.col("x") + F.col("width")
+    item = lambda k, text, at, up, size, width: F.struct(F.lit(k).alias("k"), text.alias("str"), at.alias("x"), (y + up).alias("y"), F.lit(size).alias("size"), width.alias("width"))
+    note = (F.col("h") % 6 == 0) & F.col("last")
+    parts = F.array(item(0, F.col("str"), F.col("x"), 0.0, 10.5, F.col("width")),
+                    F.when(own & ~F.col("last"), item(1, F.lit(" "), end, 0.0, 10.5, F.lit(3.0))),
+                    F.when(note, item(2, F.lit("1"), end + 1.0, 4.0, 6.0, F.lit(3.0))),
+                    F.when(note, item(3, F.lit("2"), end + 4.0, 4.0, 6.0, F.lit(3.0))))
+    items = words.select("doc_id", "pos", F.expr("pos div 20 + 1").cast("int").alias("page"), "i", F.explode(F.filter(parts, lambda z: z.isNotNull())).alias("z")) \
+        .select("doc_id", "page", ((F.col("pos") * 1000000 + F.col("i").cast("long")) * 4 + F.col("z.k")).alias("ix"), "z.str", "z.x", "z.y", "z.size", "z.width")
+    return la.assemble_lines(items).select("doc_id", "line", "page", "text", "cols", F.size("runs").alias("n_runs"), "size")
 
 
 @query("wn15_footnotes", with_("lines", """SELECT doc_id, pos // 10 + 1 AS page, count(*) AS n FROM lines WHERE pos % 10 = 9 GROUP BY ALL"""))

@@ -104,3 +104,29 @@ def test_against_sql(spark, name):
 def test_registry_is_consistent():
     import __spark_entry__ as e
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 180
+
+
+def test_lines_from_items(spark):
+    """Tabs, blanks, ideographs, raised references, white-space items and lines by their baselines."""
+    from palimpsest.operators import layout as la
+    items = [
+        (1, 1, 0, " ", 10.0, 700.0, 10.0, 3.0),            # white space before any text: nothing
+        (1, 1, 1, "Fees", 72.0, 700.0, 10.0, 20.0), (1, 1, 2, "due", 95.0, 700.4, 10.0, 15.0),   # a blank
+        (1, 1, 3, "now", 111.0, 700.0, 10.0, 15.0),                                              # too close for a blank
+        (1, 1, 4, "1", 126.5, 704.0, 6.0, 3.0), (1, 1, 5, "2", 129.5, 704.0, 6.0, 3.0),          # one raised reference
+        (1, 1, 6, "USD", 160.0, 700.0, 11.0, 15.0),                                              # a tab
+        (1, 1, 7, " ", 175.0, 640.0, 10.0, 3.0),                                                 # white space elsewhere
+        (1, 1, 8, "合同", 72.0, 686.0, 10.0, 20.0), (1, 1, 9, "条款", 95.0, 686.0, 10.0, 20.0),    # no blank
+        (1, 1, 10, " ", 115.0, 686.0, 10.0, 20.0), (1, 1, 11, "12", 135.0, 686.0, 10.0, 10.0),   # a wide white-space item
+        (1, 1, 12, "left", 20.0, 686.0, 10.0, 20.0),                                             # same baseline, back to the left
+        (1, 2, 0, "next", 72.0, 686.0, 10.0, 20.0), (1, 2, 1, "", 0.0, 0.0, 1.0, 0.0),
+        (2, 1, 0, " ", 0.0, 0.0, 1.0, 1.0), (3, 1, 0, None, 1.0, 1.0, 1.0, 1.0),
+        (4, 1, 0, "lost", None, None, 10.0, None), (4, 1, 1, "x", 72.0, 700.0, 10.0, 5.0),
+    ]
+    schema = "doc_id long, page int, ix int, str string, x double, y double, size double, width double"
+    got = la.assemble_lines(spark.createDataFrame(items, schema)).orderBy("doc_id", "line").collect()
+    assert [(r.doc_id, r.page, r.line, r.text, r.cols, r.size) for r in got] == [
+        (1, 1, 0, "Fees duenow\tUSD", True, 11.0), (1, 1, 1, "合同条款\t12", True, 10.0), (1, 1, 2, "left", False, 10.0),
+        (1, 2, 3, "next", False, 10.0), (4, 1, 0, "lost", False, 10.0), (4, 1, 1, "x", False, 10.0)]
+    assert [r.text for r in got[0].runs] == ["Fees", " due", "now", "\tUSD"] and got[0].x == 72.0 and got[0].end_x == 175.0
+    assert la.assemble_lines(spark.createDataFrame([], schema)).count() == 0
