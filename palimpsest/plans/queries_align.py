@@ -186,11 +186,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("jn9_equal_rows", with_("lines", f"""SELECT doc_id AS pair_id, CAST(pos AS INTEGER) AS pos, 0 AS edits,
-    CAST(len({words_sql('line')}) AS INTEGER) AS n FROM lines WHERE regexp_matches(line, {q('[^' + T.WS + ']')})
-    AND NOT contains(line, ' | ')"""))
+    CAST(len({words_sql('line')}) AS INTEGER) AS n FROM lines WHERE regexp_matches(line, {q('[^' + T.WS + ']')})"""))
 def _(t: Tables) -> DataFrame:
     """Side b has every blank doubled: all rows are equal and nothing in them differs."""
-    a = lines(t).filter(~F.contains("line", F.lit(" | ")))
+    a = lines(t)
     b = a.withColumn("line", F.regexp_replace("line", " ", "  "))
     rows = cp.compare_rows(blocks(a), blocks(b), O)
     return rows.select("pair_id", F.col("a")[0]["pos"].alias("pos"),

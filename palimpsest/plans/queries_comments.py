@@ -20,7 +20,7 @@ def comments(t: Tables) -> DataFrame:
     return t.conversations.dropDuplicates(["conv_id", "turn"]).select(
         F.col("conv_id").alias("pair_id"), F.when(F.col("conv_id") % 2 == 0, "b").otherwise("a").alias("side"), turn.alias("id"),
         F.concat(F.col("role"), F.lit(" ")).alias("author"), F.concat(F.lit("2026-01-"), F.lpad((turn * 7 % 28 + 1).cast("string"), 2, "0")).alias("date"),
-        F.substring("text", 1, 20).alias("text"), F.when(turn > 0, turn - 1).alias("parent"), (F.col("conv_id") % 5 == 0).alias("done"),
+        "text", F.when(turn > 0, turn - 1).alias("parent"), (F.col("conv_id") % 5 == 0).alias("done"),
         turn.alias("from_b"), F.lit(0).alias("from_c"), (turn * 3).alias("from_o"), turn.alias("to_b"), F.lit(0).alias("to_c"),
         (turn * 3 + 12).alias("to_o"), F.lit("x").alias("quote"), null.alias("del_text"))
 
@@ -59,9 +59,9 @@ def _threads(t: Tables) -> DataFrame:
     return cm.threads(c, _roots(t), OURS, ME, overrides=over)
 
 
-@query("own1_thread_owners", with_("threads", "SELECT pair_id, id, owner, side = 'b' AND owner = 'ours' AS internal, resolved, replied, n_replies FROM threads WHERE id = 0"))
+@query("own1_thread_owners", with_("threads", "SELECT pair_id, id, owner, side = 'b' AND owner = 'ours' AS internal, resolved, replied, n_replies FROM threads"))
 def _(t: Tables) -> DataFrame:
-    return _threads(t).filter("id = 0").select("pair_id", "id", "owner", "internal", "resolved", "replied", "n_replies")
+    return _threads(t).select("pair_id", "id", "owner", "internal", "resolved", "replied", "n_replies")
 
 
 # ---- anchors in the known script ----------------------------------------------------------------------
@@ -101,11 +101,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("jn24_zero_width_anchors", with_("script", """SELECT DISTINCT d.pair_id, d."row" AS id, d.cid FROM (SELECT pair_id, "row", ix, op, CASE WHEN op = -1 THEN ix END AS cid,
-      coalesce(sum(length(bt_)) OVER (PARTITION BY pair_id, "row" ORDER BY ix), 0) AS at_ FROM script) d WHERE d.op = -1 AND d.at_ = 9 AND d.pair_id % 3 = 0
+      coalesce(sum(length(bt_)) OVER (PARTITION BY pair_id, "row" ORDER BY ix), 0) AS at_ FROM script) d WHERE d.op = -1 AND d.at_ = 9
       AND EXISTS (SELECT 1 FROM script s WHERE s.pair_id = d.pair_id AND s."row" = d."row" AND s.bt_ IS NOT NULL)"""))
 def _(t: Tables) -> DataFrame:
-    """A comment after the ninth character of every line of every third document."""
-    z = lines(t).filter("doc_id % 3 = 0").select(
+    """A comment after the ninth character of every line."""
+    z = lines(t).select(
         F.col("doc_id").alias("pair_id"), F.lit("b").alias("side"), F.col("pos").alias("id"), F.col("pos").alias("from_b"), F.lit(0).alias("from_c"),
         F.lit(9).cast("long").alias("from_o"), F.col("pos").alias("to_b"), F.lit(0).alias("to_c"), F.lit(9).cast("long").alias("to_o"))
     off = _offsets(t)
@@ -138,13 +138,13 @@ def _(t: Tables) -> DataFrame:
 cte("state", """SELECT pair_id, side, id, min("row") AS "row", count(DISTINCT cid) AS n_cids, count(*) FILTER (op = 0 AND fmt IS NULL) AS eq,
     count(*) FILTER (NOT (op = 0 AND fmt IS NULL)) AS ch FROM marks GROUP BY ALL""", "marks")
 cte("full_threads", """SELECT t.*, s."row", coalesce(s.n_cids, 0) = 0 AS plain, t.side = 'a' AND coalesce(s.ch, 0) > 0 AS changed_by_them FROM threads t
-    LEFT JOIN state s ON s.pair_id = t.pair_id AND s.id = t.id WHERE t.id = 0""", "threads", "state")
+    LEFT JOIN state s ON s.pair_id = t.pair_id AND s.id = t.id""", "threads", "state")
 GRP = """CASE WHEN side = 'a' AND owner = 'ours' AND changed_by_them THEN 'changed' WHEN owner = 'theirs' AND resolved THEN 'resolved' WHEN plain THEN 'plain' ELSE owner END"""
 
 
 def _full(t: Tables) -> DataFrame:
     st = cm.thread_state(_marks(t)).select("pair_id", "side", "id", "row", "plain", "changed_by_them")
-    return _threads(t).filter("id = 0").join(st, ["pair_id", "side", "id"], "left") \
+    return _threads(t).join(st, ["pair_id", "side", "id"], "left") \
         .withColumn("plain", F.coalesce("plain", F.lit(True))).withColumn("changed_by_them", F.coalesce("changed_by_them", F.lit(False)))
 
 
@@ -198,13 +198,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("wn22_comment_quotes", with_("lines", """SELECT doc_id AS pair_id, a.pos AS id, substr(a.line, 4) || chr(10) || left(b.line, 7) AS quote FROM lines a JOIN lines b USING (doc_id)
-    WHERE b.pos = a.pos + 1 AND a.pos % 2 = 0"""))
+    WHERE b.pos = a.pos + 1"""))
 def _(t: Tables) -> DataFrame:
-    """A quote from the fourth character of every even line to the seventh of the next."""
+    """A quote from the fourth character of every line to the seventh of the next."""
     ln = lines(t)
     cells = ln.select(F.col("doc_id").alias("pair_id"), F.lit("b").alias("side"), F.col("pos").alias("block"), F.lit(0).alias("c"), F.col("line").alias("text"))
     nxt = ln.select("doc_id", (F.col("pos") - 1).alias("pos"))
-    c = ln.join(nxt, ["doc_id", "pos"], "left_semi").filter("pos % 2 = 0").select(
+    c = ln.join(nxt, ["doc_id", "pos"], "left_semi").select(
         F.col("doc_id").alias("pair_id"), F.lit("b").alias("side"), F.col("pos").alias("id"), F.col("pos").alias("from_b"), F.lit(0).alias("from_c"),
         F.lit(3).alias("from_o"), (F.col("pos") + 1).alias("to_b"), F.lit(0).alias("to_c"), F.lit(7).alias("to_o"))
     return cm.quotes(c, cells).select("pair_id", "id", "quote")

@@ -70,13 +70,13 @@ FEE_B = " fee USD 1,500 within 45 days from 2026-04-01"
 
 def _risky(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Each risky line is a pair of its own, so that its partner is known."""
-    ln = lines(t).filter("h % 17 = 5").select((F.col("doc_id") * 100000 + F.col("pos")).alias("doc_id"), F.lit(0).alias("pos"),
+    ln = lines(t).select((F.col("doc_id") * 100000 + F.col("pos")).alias("doc_id"), F.lit(0).alias("pos"),
                                              F.regexp_replace("line", r" \| ", " / ").alias("line"))
     add = lambda tail: blocks(ln.withColumn("line", F.concat("line", F.lit(tail))))
     return add(FEE_A), add(FEE_B)
 
 
-RISKY = "SELECT doc_id * 100000 + pos AS pair_id, replace(line, ' | ', ' / ') AS line FROM lines WHERE h % 17 = 5"
+RISKY = "SELECT doc_id * 100000 + pos AS pair_id, replace(line, ' | ', ' / ') AS line FROM lines"
 
 
 @query("wn9_change_context", with_("lines", f"""SELECT pair_id, kind, before, after, CAST(length(line) + at_ AS INTEGER) AS a_start,
@@ -178,9 +178,9 @@ def _(t: Tables) -> DataFrame:
     return _chg_risks(t).select("pair_id", "cid", "risk.cat")
 
 
-@query("tk1_risk_order", with_("chg", """SELECT pair_id, cid, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY m % 3, cid) AS INTEGER) AS place FROM chg WHERE m < 6"""))
+@query("tk1_risk_order", with_("chg", """SELECT pair_id, cid, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY CASE WHEN m < 6 THEN m % 3 ELSE 3 END, cid) AS INTEGER) AS place FROM chg"""))
 def _(t: Tables) -> DataFrame:
-    r = chg(t).filter("m < 6").select("pair_id", "cid", (F.col("m") % 3).alias("rank"))
+    r = chg(t).select("pair_id", "cid", F.when(F.col("m") < 6, F.col("m") % 3).otherwise(3).alias("rank"))
     return ins.risk_order(r).select("pair_id", "cid", "place")
 
 
@@ -204,9 +204,10 @@ def _(t: Tables) -> DataFrame:
 
 @query("ag11_format_noise", with_("chg", """SELECT pair_id, n, CASE WHEN f >= n * 0.6 AND s >= n * 0.6 THEN 'both' WHEN f >= n * 0.6 THEN 'font' WHEN s >= n * 0.6 THEN 'size' ELSE 'any' END AS kind
     FROM (SELECT pair_id, count(*) AS total, count(*) FILTER (kind = 'fmt') AS n, count(*) FILTER (kind = 'fmt' AND m < 8) AS f,
-      count(*) FILTER (kind = 'fmt' AND m < pair_id % 11) AS s FROM chg WHERE kind = 'fmt' OR cid % 5 = 0 GROUP BY pair_id) WHERE n >= 10 AND n * 2 >= total"""))
+      count(*) FILTER (kind = 'fmt' AND m < pair_id % 11) AS s FROM (SELECT * REPLACE (CASE WHEN pair_id % 2 = 0 AND cid % 5 > 0 THEN 'fmt' ELSE kind END AS kind) FROM chg) GROUP BY pair_id) WHERE n >= 10 AND n * 2 >= total"""))
 def _(t: Tables) -> DataFrame:
-    c = chg(t).filter("kind = 'fmt' or cid % 5 = 0")
+    """Every pair's changes; in even pairs all but one in five are changes of format."""
+    c = chg(t).withColumn("kind", F.when((F.col("pair_id") % 2 == 0) & (F.col("cid") % 5 > 0), "fmt").otherwise(F.col("kind")))
     sig = F.concat_ws(";", F.when(F.col("m") < 8, "font:A>B"), F.when(F.col("m") < F.col("pair_id") % 11, "sz:10>12"))
     return ins.format_noise(c.withColumn("sig", sig).withColumn("whole", F.lit(True)), ["pair_id"], least=10)
 
@@ -309,12 +310,11 @@ def _(t: Tables) -> DataFrame:
     return rv.save_decisions(f.drop("v", "by", "at", "note"), cur, saved(t)).select("pair_id", "fp", "v", "note")
 
 
-@query("jn20_carried_decisions", with_("saved", """SELECT pair_id, count(*) AS n FROM (SELECT pair_id FROM saved WHERE pair_id % 2 = 0
-    UNION ALL SELECT pair_id + 1 FROM saved WHERE pair_id % 2 = 0 UNION ALL SELECT pair_id FROM saved WHERE pair_id % 2 = 0 AND pair_id < 0) GROUP BY pair_id"""))
+@query("jn20_carried_decisions", with_("saved", """SELECT pair_id, count(*) AS n FROM (SELECT pair_id FROM saved UNION ALL SELECT -pair_id - 1 FROM saved) GROUP BY pair_id"""))
 def _(t: Tables) -> DataFrame:
-    """Odd pairs have no decisions of their own; each replaced the even pair before it."""
-    own = saved(t).filter("pair_id % 2 = 0")
-    prev = own.select("pair_id").distinct().select((F.col("pair_id") + 1).alias("pair_id"), F.col("pair_id").alias("prev_pair"))
+    """Every pair is replaced by a new one, numbered below zero, without decisions of its own."""
+    own = saved(t)
+    prev = own.select("pair_id").distinct().select((-F.col("pair_id") - 1).alias("pair_id"), F.col("pair_id").alias("prev_pair"))
     return rv.carry_over(own, prev, own).groupBy("pair_id").agg(F.count("*").alias("n"))
 
 

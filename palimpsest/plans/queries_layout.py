@@ -217,9 +217,9 @@ def _(t: Tables) -> DataFrame:
     return ds.trim_runs(r, ["doc_id", "pos"])
 
 
-@query("wn19_running_parts", with_("lines", f"""SELECT doc_id, CAST(min(pos) AS INTEGER) AS ord, x AS text FROM (SELECT doc_id, pos, trim(split_part(line, ' ', 1)) AS x FROM lines) WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(\\d+|of)$') GROUP BY doc_id, x"""))
+@query("wn19_running_parts", with_("lines", f"""SELECT doc_id, CAST(min(pos) AS INTEGER) AS ord, x AS text FROM (SELECT doc_id, pos, trim(line) AS x FROM lines) WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(\\d+|of)$') GROUP BY doc_id, x"""))
 def _(t: Tables) -> DataFrame:
-    b = lines(t).select("doc_id", F.lit("header").alias("part"), F.col("pos").alias("ord"), F.lit("p").alias("kind"), F.split_part("line", F.lit(" "), F.lit(1)).alias("text"))
+    b = lines(t).select("doc_id", F.lit("header").alias("part"), F.col("pos").alias("ord"), F.lit("p").alias("kind"), F.col("line").alias("text"))
     return ds.dedupe_parts(b).select("doc_id", "ord", "text")
 
 
@@ -312,9 +312,9 @@ def _(t: Tables) -> DataFrame:
     return pg.confidence(lines(t).select("doc_id", (F.col("h") % 111 - 10).alias("conf")))
 
 
-@query("str13_cleaned_recognition", with_("lines", """SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(line) || chr(10) || chr(10) || '中文x' AS text FROM lines WHERE line = trim(line) AND line <> ''"""))
+@query("str13_cleaned_recognition", with_("lines", """SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(line) || chr(10) || chr(10) || '中文x' AS text FROM lines WHERE trim(line) <> ''"""))
 def _(t: Tables) -> DataFrame:
-    ln = lines(t).filter("line = trim(line) and line <> ''")
+    ln = lines(t).filter("trim(line) <> ''")
     return ln.select("doc_id", "pos", T.clean_ocr(F.concat(F.lit(" "), "line", F.lit("  \n\n\n\n中 \t文x "))).alias("text"))
 
 

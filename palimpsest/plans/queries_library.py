@@ -301,9 +301,10 @@ def _(t: Tables) -> DataFrame:
 @query("jn22_clause_history", with_("items", """SELECT i.thread, i.clause, i.b, CAST(i.ord AS INTEGER) AS ord,
     CAST(row_number() OVER (PARTITION BY i.thread, i.clause ORDER BY v.n, i.a, i.ord) AS INTEGER) AS step FROM items i
     JOIN versions v ON v.id = i.b JOIN (SELECT thread, max(n) AS m FROM versions GROUP BY thread) x ON x.thread = i.thread
-    WHERE v.n < x.m AND i.clause = 'Section 1'"""))
+    WHERE v.n < x.m AND i.clause IS NOT NULL"""))
 def _(t: Tables) -> DataFrame:
-    asked = _target(t).select("thread", F.lit("Section 1").alias("clause"), F.col("b").alias("up_to"))
+    clauses = items(t).filter("clause is not null").select("thread", "clause").distinct()
+    asked = clauses.join(_target(t).select("thread", F.col("b").alias("up_to")), "thread")
     return lib.clause_history(items(t), versions(t), asked).select("thread", "clause", "b", "ord", "step")
 
 
