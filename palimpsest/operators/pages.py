@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
+from palimpsest.session import written
 
 # ---- fixed values -----------------------------------------------------------
 MAX_DELTA = 35215.0
@@ -18,6 +19,7 @@ BIG_PAGES = 300
 SECONDS_IMAGE, SECONDS_OCR = 0.4, 8.0
 GRID, RADIUS, PAD = 10, 2, 3
 # -----------------------------------------------------------------------------
+TILE = 320  # side of a whole tile, in pixels
 
 
 def restrict_pages(df: DataFrame, first: int, last: int) -> DataFrame:
@@ -48,58 +50,99 @@ def color_delta(r1: Column, g1: Column, b1: Column, r2: Column, g2: Column, b2:
     return y * y * 0.5053 + i * i * 0.299 + q * q * 0.1957
 
 
-def differing_pixels(a: DataFrame, b: DataFrame, threshold: float = 0.1) -> DataFrame:
-    """Pixels (pair_id, page, y, x, r, g, b) whose colours differ by more than the threshold."""
-    o = b.select("pair_id", "page", "y", "x", F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"))
-    d = color_delta(F.col("r"), F.col("g"), F.col("b"), F.col("r2"), F.col("g2"), F.col("b2"))
-    return a.join(o, ["pair_id", "page", "y", "x"]).withColumn("differs", d > MAX_DELTA * threshold * threshold) \
-        .select("pair_id", "page", "y", "x", "differs")
+PT = ["pair_id", "page"]
 
 
-def page_differences(pixels: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds ``pct`` to page pairs; a missing page differs by 100 %."""
-    n = pixels.groupBy("pair_id", "page").agg((F.count_if("differs") / F.count("*") * 100).alias("pct"))
-    return pages.join(n, ["pair_id", "page"], "left").withColumn(
-        "pct", F.when(F.col("a_missing") | F.col("b_missing"), 100.0).otherwise(F.coalesce("pct", F.lit(0.0))))
-
-
-def difference_boxes(pixels: DataFrame, sizes: DataFrame, grid: int = GRID) -> DataFrame:
-    """boxes(pair_id, page, box, x, y, w, h): connected areas of grid cells with a differing pixel, cells
-    up to two apart belong together; relative to the page, padded by three pixels.
+def differing_tiles(a: DataFrame, b: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Tiles of page images compared: adds ``differs``, row by row whether the colours of the common pixels
+    differ by more than the threshold, ``w``, its width, and ``n``, ``n_differs``, the pixels compared and differing.
 
-    Cells are aggregated first, so a group holds at most the cells of one page. ``box`` numbers the areas
-    of a page in reading order; nothing is cut off.
+    Tiles: pair_id, page, ty, tx (place in the tiling), w, px (array of r, g, b, row by row, w to a row). One row
+    per tile is shuffled, whatever its pixels. Only what both sides have is compared: where widths differ (the
+    last tiles of a page) the common corner, null pixels and missing tiles never.
     """
-    import pandas as pd
+    o = b.select(*PT, "ty", "tx", F.col("w").alias("w2"), F.col("px").alias("px2"))
+    t = a.select(*PT, "ty", "tx", F.col("w").alias("w1"), F.col("px").alias("px1")).join(o, [*PT, "ty", "tx"])
+
+    def differs(p: Column, q: Column) -> Column:
+        return color_delta(p["r"], p["g"], p["b"], q["r"], q["g"], q["b"]) > MAX_DELTA * threshold * threshold
+
+    t = t.withColumn("w", F.least("w1", "w2"))
+    rows = F.least(F.ceil(F.size("px1") / F.col("w1")), F.ceil(F.size("px2") / F.col("w2"))).cast("int")
+    cut = lambda px, width: F.flatten(F.transform(F.sequence(F.lit(0), rows - 1), lambda r: F.slice(px, r * F.col(width) + 1, F.col("w"))))
+    alike = F.zip_with("px1", "px2", differs)
+    corner = F.when(rows > 0, F.zip_with(cut(F.col("px1"), "w1"), cut(F.col("px2"), "w2"), differs)).otherwise(F.array().cast("array<boolean>"))
+    t = t.withColumn("differs", F.when(F.col("w1") == F.col("w2"), alike).otherwise(corner))
+    count = lambda keep: F.size(F.filter("differs", keep))
+    return t.select(*PT, "ty", "tx", "w", "differs", count(lambda d: d.isNotNull()).alias("n"), count(lambda d: d).alias("n_differs"))
+
+
+def page_differences(tiles: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``pct`` to page pairs from compared tiles; a missing page differs by 100 %."""
+    n = tiles.groupBy(*PT).agg((F.try_divide(F.sum("n_differs"), F.sum("n")) * 100).alias("pct"))
+    return pages.join(n, PT, "left").withColumn(
+        "pct", F.when(F.col("a_missing") | F.col("b_missing"), 100.0).otherwise(F.coalesce("pct", F.lit(0.0))))
 
-    cells = pixels.filter("differs").select(
-        "pair_id", "page", F.floor(F.col("y") / grid).cast("int").alias("gy"), F.floor(F.col("x") / grid).cast("int").alias("gx")).distinct()
-    radius = RADIUS
 
-    def areas(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = set(zip(pdf.gy, pdf.gx))
-        out = []
-        for start in sorted(left):
-            if start not in left:
-                continue
-            left.discard(start)
-            todo, got = [start], [start]
-            while todo:
-                y, x = todo.pop()
-                near = [(y + j, x + i) for j in range(-radius, radius + 1) for i in range(-radius, radius + 1) if (y + j, x + i) in left]
-                left.difference_update(near)
-                todo += near
-                got += near
-            ys, xs = [c[0] for c in got], [c[1] for c in got]
-            out.append((pdf.pair_id.iloc[0], pdf.page.iloc[0], len(out), min(xs), min(ys), max(xs), max(ys)))
-        return pd.DataFrame(out, columns=["pair_id", "page", "box", "x0", "y0", "x1", "y1"])
-
-    kind = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    got = cells.groupBy("pair_id", "page").applyInPandas(
-        areas, f"pair_id {kind['pair_id']}, page {kind['page']}, box int, x0 int, y0 int, x1 int, y1 int")
+def differing_cells(tiles: DataFrame, grid: int = GRID, tile: int = TILE) -> DataFrame:
+    """cells(pair_id, page, gy, gx): cells of the page's grid with a differing pixel; ``tile`` is the side of whole tiles."""
+    at = F.filter(F.transform("differs", lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
+    cell = lambda i: F.struct(F.floor((F.col("ty") * tile + F.floor(i / F.col("w"))) / grid).cast("int").alias("gy"),
+                              F.floor((F.col("tx") * tile + i % F.col("w")) / grid).cast("int").alias("gx"))
+    t = tiles.filter("n_differs > 0").select(*PT, F.explode(F.array_distinct(F.transform(at, cell))).alias("c"))
+    return t.select(*PT, "c.gy", "c.gx").distinct()
+
+
+def _settled_links(links: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (pair_id, page, u, v) to links of every node to the smallest one of its area, in rounds that hang
+    the neighbours of each node below its smallest neighbour: first the larger ones, then the smaller ones."""
+    def hang(l: DataFrame, larger: bool) -> DataFrame:
+        both = l.unionByName(l.select(*PT, F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both if larger else both.filter("v < u")
+        m = F.least(F.col("u"), F.min("v").over(Window.partitionBy(*PT, "u")))
+        near = near.withColumn("m", m)
+        kept = near.filter("v > u") if larger else near.unionByName(near.withColumn("v", F.col("u")))
+        return kept.filter("v <> m").select(*PT, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    print_of = lambda l: l.agg(F.count("*"), F.sum(F.xxhash64(*PT, "u", "v").cast("decimal(38,0)"))).first()
+    now = cut(links.select(*PT, "u", "v").distinct())
+    before, seen = None, print_of(now)
+    while seen != before:
+        now = cut(hang(hang(now, True), False))
+        before, seen = seen, print_of(now)
+    return now
+
+
+def areas(cells: DataFrame, radius: int = RADIUS, cut: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """areas(pair_id, page, box, x0, y0, x1, y1) in cells: cells up to ``radius`` apart in both directions belong
+    together. ``box`` numbers the areas of a page in the reading order of their first cells; nothing is cut off.
+
+    Cells of a row are first united to runs, runs of near rows are linked, and links are followed in tables, so
+    that no page is held by one task; the rounds grow with the logarithm of the longest way through an area.
+    """
+    row = Window.partitionBy(*PT, "gy").orderBy("gx")
+    t = cells.withColumn("new", F.when(F.col("gx") - F.lag("gx").over(row) <= radius, 0).otherwise(1))
+    t = t.withColumn("run", F.sum("new").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = t.groupBy(*PT, "gy", "run").agg(F.min("gx").alias("x0"), F.max("gx").alias("x1"))
+    # A run is named by its first cell, in reading order.
+    runs = cut(runs.select(*PT, "gy", "x0", "x1", (F.col("gy").cast("long") * 2**32 + F.col("x0")).alias("u")))
+    near = runs.select(*PT, F.explode(F.array(*[F.col("gy") + k for k in range(1, radius + 1)])).alias("gy"),
+                       F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("u").alias("v"))
+    links = runs.join(near, [*PT, "gy"]).filter((F.col("x0") <= F.col("_x1") + radius) & (F.col("_x0") <= F.col("x1") + radius))
+    first = _settled_links(links, cut).withColumnRenamed("v", "area")
+    t = runs.join(first, [*PT, "u"], "left").withColumn("area", F.coalesce("area", "u"))
+    got = t.groupBy(*PT, "area").agg(F.min("x0").alias("x0"), F.min("gy").alias("y0"), F.max("x1").alias("x1"), F.max("gy").alias("y1"))
+    box = F.row_number().over(Window.partitionBy(*PT).orderBy("area")) - 1
+    return got.select(*PT, box.alias("box"), "x0", "y0", "x1", "y1")
+
+
+def difference_boxes(tiles: DataFrame, sizes: DataFrame, grid: int = GRID, tile: int = TILE) -> DataFrame:
+    """boxes(pair_id, page, box, x, y, bw, bh): the areas of differing cells, relative to the page (sizes: pair_id,
+    page, w, h in pixels), padded by three pixels."""
+    got = areas(differing_cells(tiles, grid, tile))
     side = lambda lo, hi, n: (((F.col(lo) * grid - PAD) / F.col(n)), (((F.col(hi) - F.col(lo) + 1) * grid + 2 * PAD) / F.col(n)))
     (x, w), (y, h) = side("x0", "x1", "w"), side("y0", "y1", "h")
-    return got.join(sizes, ["pair_id", "page"]).select("pair_id", "page", "box", x.alias("x"), y.alias("y"), w.alias("bw"), h.alias("bh"))
+    return got.join(sizes, PT).select(*PT, "box", x.alias("x"), y.alias("y"), w.alias("bw"), h.alias("bh"))
 
 
 def page_verdicts(diffs: DataFrame, unread: DataFrame) -> DataFrame:

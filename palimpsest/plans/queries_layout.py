@@ -248,11 +248,12 @@ def _(t: Tables) -> DataFrame:
 
 # ---- pages --------------------------------------------------------------------------------------------
 
-def _pixels(t: Tables, side: int) -> DataFrame:
-    """A vector is a grey page of eight lines, the even ones side a, the odd ones side b."""
-    e = t.embeddings.filter(F.col("vec_id") % 2 == side).select(F.expr("vec_id div 2 div 10").alias("pair_id"), F.expr("vec_id div 2 % 10").alias("page"), F.posexplode("embedding").alias("k", "v"))
-    v = F.col("v").cast("double") * 255
-    return e.select("pair_id", "page", F.expr("k div 8").alias("y"), (F.col("k") % 8).alias("x"), v.alias("r"), v.alias("g"), v.alias("b"))
+def _tiles(t: Tables, side: int) -> DataFrame:
+    """A vector is a grey page of eight lines in one tile, the even ones side a, the odd ones side b."""
+    grey = lambda v: F.struct(*[(v.cast("double") * 255).alias(c) for c in "rgb"])
+    return t.embeddings.filter(F.col("vec_id") % 2 == side).select(
+        F.expr("vec_id div 2 div 10").alias("pair_id"), F.expr("vec_id div 2 % 10").alias("page"), F.lit(0).alias("ty"), F.lit(0).alias("tx"),
+        F.lit(8).alias("w"), F.transform("embedding", grey).alias("px"))
 
 
 cte("px", """SELECT pair_id, page, y, x, d * d * 0.5053 > 35215.0 * 0.04 AS differs FROM (
@@ -262,23 +263,23 @@ cte("pg", "SELECT pair_id, page, page % 4 = 3 AS b_missing, count(*) FILTER (dif
 PCT = "CASE WHEN b_missing THEN 100.0 ELSE p END"
 
 
-def _diff(t: Tables) -> DataFrame:
-    return pg.differing_pixels(_pixels(t, 0), _pixels(t, 1), 0.2)
+def _diff(t: Tables, threshold: float = 0.2) -> DataFrame:
+    return pg.differing_tiles(_tiles(t, 0), _tiles(t, 1), threshold)
 
 
 def _page_diffs(t: Tables) -> DataFrame:
-    a, b = _pixels(t, 0), _pixels(t, 1).filter("page % 4 <> 3")
+    a, b = _tiles(t, 0), _tiles(t, 1).filter("page % 4 <> 3")
     return pg.page_differences(_diff(t), pg.pair_pages(a, b))
 
 
 @query("jn28_page_pairs", with_("pg", "SELECT pair_id, page, false AS a_missing, b_missing FROM pg"))
 def _(t: Tables) -> DataFrame:
-    return pg.pair_pages(_pixels(t, 0), _pixels(t, 1).filter("page % 4 <> 3"))
+    return pg.pair_pages(_tiles(t, 0), _tiles(t, 1).filter("page % 4 <> 3"))
 
 
 @query("jn29_differing_pixels", with_("px", "SELECT pair_id, page, count(*) FILTER (differs) AS n FROM px GROUP BY ALL"))
 def _(t: Tables) -> DataFrame:
-    return _diff(t).groupBy("pair_id", "page").agg(F.count_if("differs").alias("n"))
+    return _diff(t).groupBy("pair_id", "page").agg(F.sum("n_differs").cast("long").alias("n"))
 
 
 @query("ag21_page_difference", with_("pg", f"SELECT pair_id, page, round({PCT}, 6) AS pct FROM pg"))
@@ -286,11 +287,21 @@ def _(t: Tables) -> DataFrame:
     return _page_diffs(t).select("pair_id", "page", F.round("pct", 6).alias("pct"))
 
 
-@query("ag22_difference_boxes")
+FAR = 0.6  # few pixels of two vectors are that far apart, so that a page has several areas
+
+
+@query("ag22_difference_boxes", """WITH RECURSIVE c AS (SELECT pair_id, page, y, x FROM (SELECT a.vec_id // 2 // 10 AS pair_id, a.vec_id // 2 % 10 AS page, k // 8 AS y, k % 8 AS x,
+        (CAST(a.embedding[k + 1] AS DOUBLE) - CAST(b.embedding[k + 1] AS DOUBLE)) * 255 AS d
+      FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1, range(64) r(k) WHERE a.vec_id % 2 = 0 AND k < len(a.embedding)) WHERE d * d * 0.5053 > 35215.0 * 0.36),
+    reach AS (SELECT pair_id, page, y * 8 + x AS first, y, x FROM c
+      UNION SELECT r.pair_id, r.page, r.first, c.y, c.x FROM reach r JOIN c ON c.pair_id = r.pair_id AND c.page = r.page AND abs(c.y - r.y) <= 2 AND abs(c.x - r.x) <= 2),
+    area AS (SELECT pair_id, page, y, x, min(first) AS area FROM reach GROUP BY ALL),
+    box AS (SELECT pair_id, page, area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM area GROUP BY ALL)
+    SELECT pair_id, page, CAST(row_number() OVER (PARTITION BY pair_id, page ORDER BY area) - 1 AS INTEGER) AS box, (x0 - 3) / 8.0 AS x, (y0 - 3) / 8.0 AS y,
+      (x1 - x0 + 7) / 8.0 AS bw, (y1 - y0 + 7) / 8.0 AS bh FROM box""")
 def _(t: Tables) -> DataFrame:
-    d = _diff(t).filter("(x + y * 3 + page) % 7 < 2")
-    sizes = d.select("pair_id", "page").distinct().withColumn("w", F.lit(8)).withColumn("h", F.lit(8))
-    return pg.difference_boxes(d, sizes, grid=1)
+    sizes = _tiles(t, 0).select("pair_id", "page", F.lit(8).alias("w"), F.lit(8).alias("h"))
+    return pg.difference_boxes(_diff(t, FAR), sizes, grid=1)
 
 
 @query("ag27_page_verdicts", with_("pg", f"""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN b_missing THEN 'missing' WHEN p < 60 AND page % 3 = 0 THEN 'suspect' WHEN p < 60 THEN 'same' ELSE 'differs' END AS verdict FROM pg) GROUP BY verdict"""))
@@ -302,7 +313,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("prj13_page_range", with_("pg", "SELECT pair_id, max(page) AS pages, max(page) > 300 AS needs_range, round(max(page) * 0.4, 6) AS image_seconds, round(max(page) * 8.0, 6) AS ocr_seconds FROM pg WHERE page BETWEEN 2 AND 8 GROUP BY pair_id"))
 def _(t: Tables) -> DataFrame:
-    p = pg.page_plan(pg.restrict_pages(_pixels(t, 0), 2, 8))
+    p = pg.page_plan(pg.restrict_pages(_tiles(t, 0), 2, 8))
     return p.select("pair_id", "pages", "needs_range", F.round("image_seconds", 6).alias("image_seconds"), F.round("ocr_seconds", 6).alias("ocr_seconds"))
 
 

@@ -71,13 +71,61 @@ def test_numbering_override_and_bullets(spark):
     assert got == ["5.", "5.i", "5.iv", "•", "6.", "6.i"]
 
 
+TILES = "pair_id int, page int, ty int, tx int, w int, px array<struct<r:double,g:double,b:double>>"
+
+
+def test_tiles(spark):
+    """The common corner of tiles of unequal width; null pixels and tiles without a partner are not compared."""
+    grey = lambda *v: [None if x is None else (float(x),) * 3 for x in v]
+    a = spark.createDataFrame([(1, 1, 0, 0, 3, grey(0, 0, 0, 0, 0, 0)), (1, 1, 0, 1, 2, grey(0, None, 9, 255)), (1, 2, 0, 0, 1, grey(0)), (1, 3, 0, 0, 2, [])], TILES)
+    b = spark.createDataFrame([(1, 1, 0, 0, 2, grey(0, 255, 255, 0, 255, 255)), (1, 1, 0, 1, 2, grey(255, 255, 9, 9)), (1, 3, 0, 0, 3, [])], TILES)
+    got = {(r.page, r.tx): r for r in pg.differing_tiles(a, b).collect()}
+    assert got[1, 0].differs == [False, True, True, False] and (got[1, 0].w, got[1, 0].n, got[1, 0].n_differs) == (2, 4, 2)
+    assert got[1, 1].differs == [True, None, False, True] and (got[1, 1].n, got[1, 1].n_differs) == (3, 2)
+    assert got[3, 0].differs == [] and len(got) == 3
+    pages = {r.page: r.pct for r in pg.page_differences(pg.differing_tiles(a, b), pg.pair_pages(a, b)).collect()}
+    assert round(pages[1], 6) == round(4 / 7 * 100, 6) and pages[2] == 100.0 and pages[3] == 0.0
+
+
 def test_boxes(spark):
-    px = spark.createDataFrame([(1, 1, y, x, True) for y, x in ((5, 5), (5, 25), (95, 95))], "pair_id int, page int, y int, x int, differs boolean")
+    tile = lambda ty, tx, *at: (1, 1, ty, tx, 50, [i in at for i in range(2500)], 2500, len(at))
+    tiles = spark.createDataFrame([tile(0, 0, 5 * 50 + 5, 5 * 50 + 25), tile(1, 1, 45 * 50 + 45)],
+                                  "pair_id int, page int, ty int, tx int, w int, differs array<boolean>, n int, n_differs int")
     size = spark.createDataFrame([(1, 1, 100, 100)], "pair_id int, page int, w int, h int")
-    got = pg.difference_boxes(px, size).orderBy("box").collect()
+    got = pg.difference_boxes(tiles, size, tile=50).orderBy("box").collect()
     assert [(round(r.x, 2), round(r.bw, 2)) for r in got] == [(-0.03, 0.36), (0.87, 0.16)]
 
 
+def test_areas_as_by_brute_force(spark):
+    """Random cells, a spiral and a comb against a walk from cell to cell."""
+    import random
+    rnd = random.Random(7)
+    pages = {k: {(rnd.randrange(60), rnd.randrange(60)) for _ in range(n)} for k, n in enumerate((1, 90, 250, 400))}
+    spiral, y, x, step = set(), 0, 0, 48
+    for turn, (dy, dx) in enumerate([(0, 1), (1, 0), (0, -1), (-1, 0)] * 8):
+        for _ in range(max(step - 3 * turn, 0)):
+            spiral.add((y, x))
+            y, x = y + dy, x + dx
+    pages[8] = spiral
+    pages[9] = {(i, j) for i in range(40) for j in range(0, 40, 3)} | {(40, j) for j in range(40)}
+    want = set()
+    for page, cells in pages.items():
+        left, boxes = set(cells), []
+        while left:
+            todo = got = [min(left)]
+            left -= set(got)
+            while todo:
+                near = {(a, b) for a, b in left if any(abs(a - c) <= 2 and abs(b - d) <= 2 for c, d in todo)}
+                left -= near
+                todo = list(near)
+                got = got + todo
+            boxes.append((min(got), min(b for _, b in got), min(a for a, _ in got), max(b for _, b in got), max(a for a, _ in got)))
+        want |= {(page, n, *box[1:]) for n, box in enumerate(sorted(boxes))}
+    cells = spark.createDataFrame([(1, p, a, b) for p, c in pages.items() for a, b in c], "pair_id int, page int, gy int, gx int")
+    assert {tuple(r)[1:] for r in pg.areas(cells).collect()} == want
+    assert pg.areas(cells.limit(0)).count() == 0
+
+
 def test_stream_of_decisions(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
     schema = sj.DECISION
