@@ -202,13 +202,16 @@ cte("move_keys", f"""SELECT doc_id, pos, line, {BKEY_SQL} AS k FROM lines""", "l
 
 @query("jn10_moves", with_("lines", f"""SELECT a.doc_id AS pair_id, 'move' AS kind, count(*) AS n FROM (
       SELECT doc_id FROM (SELECT doc_id, pos, {BKEY_SQL} AS k FROM lines) WHERE pos = 0 AND length(k) >= 6) a
-    JOIN (SELECT doc_id FROM lines GROUP BY doc_id HAVING count(*) >= 3) b ON a.doc_id = b.doc_id GROUP BY a.doc_id"""))
+    GROUP BY a.doc_id"""))
 def _(t: Tables) -> DataFrame:
-    """The first line of every document goes to the end; the other lines are made unique, so that
-    the one move is the whole difference."""
+    """The first line of every document goes to the end; the other lines are made unique and two more are
+    added, so that the one move is the whole difference."""
+    more = lines(t).groupBy("doc_id").agg(F.max("pos").alias("end")).select(
+        "doc_id", F.explode(F.array(F.col("end") + 1, F.col("end") + 2)).alias("pos")).withColumn("line", F.lit("end of the text"))
+    all_lines = lines(t).select("doc_id", "pos", "line").unionByName(more)
     n = F.count("*").over(Window.partitionBy("doc_id"))
     tag = F.concat(F.lit("L"), F.col("pos").cast("string"), F.lit(" "), "line")
-    a = lines(t).withColumn("n", n).filter("n >= 3").withColumn("line", F.when(F.col("pos") > 0, tag).otherwise(F.col("line")))
+    a = all_lines.withColumn("n", n).withColumn("line", F.when(F.col("pos") > 0, tag).otherwise(F.col("line")))
     b = a.withColumn("pos", F.when(F.col("pos") == 0, F.col("n")).otherwise(F.col("pos")))
     rows = align.find_moves(align.pair_rows(cp.compare_stretches(blocks(a), blocks(b), O), O))
     return rows.filter("kind = 'moved-from'").groupBy("pair_id", F.lit("move").alias("kind")).agg(F.count("*").alias("n"))

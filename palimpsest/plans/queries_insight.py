@@ -99,13 +99,15 @@ def _(t: Tables) -> DataFrame:
     return r.select("pair_id", "risk.cat", "risk.k", "risk.a", "risk.b", "risk.unit", "risk.pct", "risk.days", "risk.months")
 
 
-@query("rsk2_new_amounts", with_("lines", f"""SELECT pair_id, CASE WHEN pair_id % 2 = 0 THEN 'ins' ELSE 'del' END AS kind, 1200.0 AS v, 'USD' AS unit FROM ({RISKY})"""))
-def _(t: Tables) -> DataFrame:
-    a, _b = _risky(t)
-    txt = F.lit(FEE_A)
-    even = F.col("pair_id") % 2 == 0
-    c = a.select("pair_id", F.when(even, "ins").otherwise("del").alias("kind"), F.when(even, "").otherwise(txt).alias("before"),
-                 F.when(even, txt).otherwise("").alias("after"))
+@query("rsk2_new_amounts", """SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ins' ELSE 'del' END AS kind,
+    CAST(o_totalprice AS DECIMAL(18, 2))::DOUBLE AS v, ['USD', 'EUR', 'RMB'][o_custkey % 3 + 1] AS unit FROM orders""")
+def _(t: Tables) -> DataFrame:
+    """Every order's total, written into a new or a dropped sentence."""
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("USD", "EUR", "RMB")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+    txt = F.concat(F.lit("The buyer owes "), unit, F.lit(" "), F.format_number("o_totalprice", 2), F.lit(" to "), "o_orderstatus", F.lit(" ("), "o_orderpriority", F.lit(")"))
+    even = F.col("o_orderkey") % 2 == 0
+    c = t.orders.select(F.col("o_orderkey").alias("pair_id"), F.when(even, "ins").otherwise("del").alias("kind"),
+                        F.when(even, "").otherwise(txt).alias("before"), F.when(even, txt).otherwise("").alias("after"))
     return c.select("pair_id", "kind", N.first_amount(F.concat("before", "after")).alias("h")).select(
         "pair_id", "kind", "h.value", N.unit_of(F.col("h")).alias("unit")).withColumnRenamed("value", "v")
 

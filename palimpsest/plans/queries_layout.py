@@ -78,10 +78,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("ag23_section_info", with_("headed", """SELECT doc_id, CASE WHEN bool_or(hf AND band = 'top' AND NOT pn) THEN 'found' WHEN max(np) >= 2 THEN 'none' ELSE 'unknown' END AS header,
     CASE WHEN bool_or(hf AND band = 'bottom' AND NOT pn) THEN 'found' WHEN max(np) >= 2 OR bool_or(hf AND pn) THEN 'none' ELSE 'unknown' END AS footer,
+    CASE WHEN doc_id IN (SELECT doc_id FROM lines WHERE pos % 10 = 9) THEN 'found' ELSE 'unknown' END AS footnote,
     bool_or(hf AND pn) AS page_numbers_dropped FROM (SELECT *, regexp_matches(text, '^Page \\d+$') OR trim(text) = '' AS pn FROM headed) GROUP BY doc_id"""))
 def _(t: Tables) -> DataFrame:
     h = la.running_heads(text_lines(t))
-    return la.section_info(h, h.limit(0)).drop("footnote")
+    return la.section_info(h, _footnotes(t))
 
 
 @query("wn12_full_lines", with_("bl", """SELECT doc_id, CAST(line AS INTEGER) AS line, coalesce(NOT cols AND end_x >= max(CASE WHEN NOT cols THEN end_x END) OVER (PARTITION BY doc_id, page, size) - size * 1.5, false) AS "full" FROM bl"""))
@@ -152,11 +153,15 @@ def _(t: Tables) -> DataFrame:
 
 @query("wn15_footnotes", with_("lines", """SELECT doc_id, pos // 10 + 1 AS page, count(*) AS n FROM lines WHERE pos % 10 = 9 GROUP BY ALL"""))
 def _(t: Tables) -> DataFrame:
+    return _footnotes(t).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+def _footnotes(t: Tables) -> DataFrame:
     """Ten lines to a page; the last one of a full page is a small numbered line at the foot."""
     note = F.col("pos") % 10 == 9
     ln = lines(t).select("doc_id", F.col("pos").alias("line"), F.expr("pos div 10 + 1").alias("page"), F.when(note, 200.0).otherwise(700.0 - F.col("pos") % 10 * 14).alias("y"),
                          F.when(note, 8.0).otherwise(10.5).alias("size"), F.when(note, F.concat(F.lit("[1] "), "line")).otherwise(F.col("line")).alias("text"), F.lit(10.5).alias("median"))
-    return la.footnotes(la.footnote_lines(ln)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return la.footnotes(la.footnote_lines(ln))
 
 
 @query("ag19_read_issues", """SELECT user_id AS doc_id, string_agg(DISTINCT CAST(event_id % 7 AS VARCHAR), ',' ORDER BY CAST(event_id % 7 AS VARCHAR)) AS pages, count(*) AS runs,
