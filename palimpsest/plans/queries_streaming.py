@@ -69,24 +69,36 @@ def _(t: Tables) -> DataFrame:
     return got.select("pair_key", "change", F.coalesce("v", F.lit("-")).alias("v"), "at")
 
 
-@query("st5_round_summaries", """, r AS (SELECT pair_key, max(tt) AS tt, arg_max(decided, tt) AS decided, arg_max(digest, tt) AS digest FROM (SELECT *, sum(n) OVER (PARTITION BY pair_key ORDER BY tt) AS g FROM (
-      SELECT *, CASE WHEN tt - lag(tt) OVER (PARTITION BY pair_key ORDER BY tt) < INTERVAL 600 MILLISECOND THEN 0 ELSE 1 END AS n FROM e)) GROUP BY pair_key, g)
+# What a stream has given out when its input ends lies before the watermark.
+MARK = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 SECOND FROM events{})"
+
+
+@query("st5_round_summaries", f"""WITH e AS (SELECT user_id AS pair_key, ts AS tt, event_id % 3 AS decided, event_type AS digest FROM events),
+    r AS (SELECT pair_key, max(tt) AS tt, arg_max(decided, (tt, decided, digest)) AS decided, arg_max(digest, (tt, decided, digest)) AS digest
+      FROM (SELECT *, sum(n) OVER (PARTITION BY pair_key ORDER BY tt) AS g FROM (
+        SELECT *, CASE WHEN tt - lag(tt) OVER (PARTITION BY pair_key ORDER BY tt) < INTERVAL 600 MILLISECOND THEN 0 ELSE 1 END AS n FROM e))
+      GROUP BY pair_key, g HAVING max(tt) + INTERVAL 600 MILLISECOND <= {MARK.format('')})
     SELECT pair_key, count(*) AS n FROM (SELECT *, lag(decided) OVER w AS pd, lag(digest) OVER w AS pg FROM r WINDOW w AS (PARTITION BY pair_key ORDER BY tt))
-    WHERE pd IS DISTINCT FROM decided OR pg IS DISTINCT FROM digest GROUP BY pair_key""".replace(", r AS", "WITH e AS (SELECT user_id AS pair_key, ts AS tt, event_id % 3 AS decided, event_type AS digest FROM events), r AS", 1))
+    WHERE pd IS DISTINCT FROM decided OR pg IS DISTINCT FROM digest GROUP BY pair_key""")
 def _(t: Tables) -> DataFrame:
-    e = t.events.select(F.col("user_id").alias("pair_key"), F.col("ts").alias("at"), (F.col("event_id") % 3).alias("decided"), F.col("event_type").alias("digest"))
-    r = sj.settled_rounds(e)
-    return sj.changed_rounds(r, r.limit(0)).groupBy("pair_key").agg(F.count("*").alias("n"))
+    """The edits are streamed; rounds that have settled and differ from the one before are read back."""
+    work = sj.work_folder(t.spark, "rounds")
+    e = stream(t, "events").select(F.col("user_id").alias("pair_key"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3).alias("decided"), F.col("event_type").alias("digest"))
+    _drain(sj.follow_rounds(e, f"{work}/store", f"{work}/checkpoint", once=True))
+    return sj.read_store(t.spark, f"{work}/store", sj.ROUND).groupBy("pair_key").agg(F.count("*").alias("n"))
 
 
-@query("st4_soft_deletes", """SELECT d.user_id AS id, d.event_id FROM events d WHERE d.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events u WHERE u.event_type = 'click'
-    AND u.user_id = d.user_id AND u.ts >= d.ts AND u.ts <= d.ts + INTERVAL 10 SECOND)""")
+@query("st4_soft_deletes", f"""SELECT d.user_id AS id, d.event_id FROM events d WHERE d.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events u WHERE u.event_type = 'click'
+    AND u.user_id = d.user_id AND u.ts >= d.ts AND u.ts <= d.ts + INTERVAL 10 SECOND)
+    AND date_trunc('milliseconds', d.ts + INTERVAL 10 SECOND) < {MARK.format(" WHERE event_type IN ('error', 'click')")}""")
 def _(t: Tables) -> DataFrame:
-    """Errors delete, clicks undo."""
-    e = t.events.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), "event_type", "event_id")
-    got = sj.purges(e.filter("event_type = 'error'"), e.filter("event_type = 'click'"))
-    ids = e.filter("event_type = 'error'").select("id", F.col("at").alias("deleted_at"), "event_id")
-    return got.join(ids, ["id", "deleted_at"]).select("id", "event_id")
+    """Errors delete, clicks undo; both are streamed, and a timer decides."""
+    e = lambda events, kind: events.filter(F.col("event_type") == kind).select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("at"), "event_id")
+    work = sj.work_folder(t.spark, "purges")
+    s = stream(t, "events")
+    _drain(sj.follow_purges(e(s, "error"), e(s, "click"), f"{work}/store", f"{work}/checkpoint", once=True))
+    got = sj.read_store(t.spark, f"{work}/store", "id bigint, deleted_at timestamp").select("id", F.col("deleted_at").alias("at")).distinct()
+    return e(t.events, "error").join(got, ["id", "at"], "left_semi").select("id", "event_id")
 
 
 @query("st6_page_progress", """SELECT user_id AS pair_id, count(*) AS done, count(*) FILTER (value >= 5) AS differing, count(*) FILTER (value < 5 AND event_id % 4 = 0) AS suspects FROM events GROUP BY user_id""")
@@ -99,14 +111,21 @@ def _(t: Tables) -> DataFrame:
 
 
 def _log(e: DataFrame) -> DataFrame:
-    return e.select(F.col("ts").alias("at"), F.col("event_type").alias("v"))
+    return e.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("v"))
+
+
+def _counts(t: Tables, *size: str) -> DataFrame:
+    """Counts streamed in update mode; the last state of every window is read back."""
+    work = sj.work_folder(t.spark, "counts")
+    _drain(sj.follow_counts(_log(stream(t, "events")), size[0], f"{work}/store", f"{work}/checkpoint", *size[1:], once=True))
+    return sj.current_counts(sj.read_store(t.spark, f"{work}/store", sj.WINDOW)).withColumn("start", iso(F.col("start")))
 
 
 @query("st7_daily_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S.%f') AS start, event_type AS v, count(*) AS n FROM events GROUP BY ALL")
 def _(t: Tables) -> DataFrame:
-    return sj.windowed_counts(_log(t.events), "1 day").withColumn("start", iso(F.col("start")))
+    return _counts(t, "1 day")
 
 
 @query("st7_sliding_counts", """SELECT strftime(date_trunc('hour', ts) - k * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS start, event_type AS v, count(*) AS n FROM events, range(3) r(k) GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
-    return sj.windowed_counts(_log(t.events), "3 hours", "1 hour").withColumn("start", iso(F.col("start")))
+    return _counts(t, "3 hours", "1 hour")

@@ -13,12 +13,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructType
 
 from palimpsest.operators import fingerprint as fp, library as lib
 from palimpsest.session import shared_folder, until_settled, written
 
 DEBOUNCE, ROUND_PAUSE, UNDO = "700 milliseconds", "600 milliseconds", "10 seconds"
+UNDO_MICROS = 10_000_000
 
 
 # ---- stores -------------------------------------------------------------------------------------------
@@ -210,15 +212,56 @@ def follow_rounds(stream: DataFrame, store: str, checkpoint: str, once: bool = F
 # ---- soft deletes -------------------------------------------------------------------------------------
 
 def purges(deletes: DataFrame, undos: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """purges(id, deleted_at): deletions not undone within ten seconds. An outer interval join: the state of
-    a deletion is kept until its time to undo has passed."""
-    d = deletes.select("id", F.col("at").alias("deleted_at"))
-    u = undos.select(F.col("id").alias("_id"), F.col("at").alias("_undone_at"))
-    if deletes.isStreaming:
-        d, u = d.withWatermark("deleted_at", delay), u.withWatermark("_undone_at", delay)
-    within = (F.col("id") == F.col("_id")) & (F.col("_undone_at") >= F.col("deleted_at")) & \
-        (F.col("_undone_at") <= F.col("deleted_at") + F.expr(f"INTERVAL {UNDO}"))
-    return d.join(u, within, "left_outer").filter(F.col("_undone_at").isNull()).select("id", "deleted_at")
+    """purges(id, deleted_at): deletions not undone within ten seconds, from tables or from streams.
+
+    On streams a timer per id waits until the watermark has passed the end of the time to undo; only then is a
+    deletion given out, once. The state of an id is its waiting deletions, and the undos that a deletion still
+    under way could meet. Rows without id or time are left out; rows later than the watermark come too late.
+    """
+    d = deletes.select("id", "at").dropna()
+    u = undos.select("id", "at").dropna()
+    if not d.isStreaming:
+        d, u = d.select("id", F.col("at").alias("deleted_at")), u.select(F.col("id").alias("_id"), F.col("at").alias("_undone_at"))
+        within = (F.col("id") == F.col("_id")) & (F.col("_undone_at") >= F.col("deleted_at")) & \
+            (F.col("_undone_at") <= F.col("deleted_at") + F.expr(f"INTERVAL {UNDO}"))
+        return d.join(u, within, "left_anti")
+    both = d.withColumn("undo", F.lit(False)).unionByName(u.withColumn("undo", F.lit(True))) \
+        .withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
+    wait = UNDO_MICROS
+
+    def settle(key, batches, state):
+        import pandas as pd
+
+        waiting, undone = (list(x) for x in state.get) if state.exists else ([], [])
+        if not state.hasTimedOut:
+            for batch in batches:
+                undone += batch.us[batch.undo].tolist()
+                waiting += batch.us[~batch.undo].tolist()
+        waiting = [w for w in waiting if not any(w <= x <= w + wait for x in undone)]
+        now = state.getCurrentWatermarkMs()
+        over = lambda us: us // 1000 < now
+        gone, waiting = [w for w in waiting if over(w + wait)], [w for w in waiting if not over(w + wait)]
+        undone = [x for x in undone if not over(x)]
+        if waiting or undone:
+            state.update((waiting, undone))
+            # A timer lies after the watermark.
+            state.setTimeoutTimestamp(max(min([w + wait for w in waiting] + undone) // 1000, now + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"id": [key[0]] * len(gone), "us": gone})
+
+    kind = d.schema["id"].dataType.simpleString()
+    got = both.groupBy("id").applyInPandasWithState(
+        settle, f"id {kind}, us bigint", "waiting array<bigint>, undone array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return got.select("id", F.timestamp_micros("us").alias("deleted_at"))
+
+
+def follow_purges(deletes: DataFrame, undos: DataFrame, store: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Appends what has to be purged to the store."""
+    def batch(df: DataFrame, batch_id: int) -> None:
+        append_batch(df, store, batch_id)
+
+    return start(purges(deletes, undos), batch, checkpoint, once=once)
 
 
 # ---- counters -----------------------------------------------------------------------------------------
@@ -247,3 +290,18 @@ def windowed_counts(log: DataFrame, size: str, slide: str | None = None, delay:
         log = log.withWatermark("at", delay)
     w = F.window("at", size, slide) if slide else F.window("at", size)
     return log.groupBy(w.alias("w"), "v").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "v", "n")
+
+
+WINDOW = "start timestamp, v string, n bigint"
+
+
+def follow_counts(stream: DataFrame, size: str, store: str, checkpoint: str, slide: str | None = None, once: bool = False) -> StreamingQuery:
+    """Writes the windows whose counts changed in a batch; the last batch of a window is its state."""
+    def batch(df: DataFrame, batch_id: int) -> None:
+        append_batch(df, store, batch_id)
+
+    return start(windowed_counts(stream, size, slide), batch, checkpoint, mode="update", once=once)
+
+
+def current_counts(store: DataFrame) -> DataFrame:
+    return latest(store, ["start", "v"], [F.col("batch")]).drop("batch")
