@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
 
@@ -321,6 +322,53 @@ def test_links_agree_with_components(spark):
     assert got.component_id.tolist() == unite(len(x), np.argwhere(np.triu(link)).tolist())
 
 
+@pytest.mark.parametrize("size", [4000, 16000, 64000])
+def test_dense_groups_cost_their_size(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=8) + rng.normal(size=(size, 8)) * 0.01
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(size), "embedding": x.tolist(), "label": 0}))
+    bare = df.select(F.col("label").cast("int").alias("label"), F.size("embedding").alias("dim"), F.col("vec_id").alias("rid"), F.col("embedding").alias("v"))
+    cells = bare.withColumn("cells", F.array(F.lit("0")))
+    assert nearvec.fold(cells).select("lead").distinct().count() <= 8
+    per = nearvec.shards_of(cells).groupBy("rid").count().agg(F.max("count")).first()[0]
+    biggest = nearvec.shards_of(cells).groupBy("cell").count().agg(F.max("count")).first()[0]
+    assert per <= nearvec.DEEPER ** 6 and biggest <= nearvec.CELL
+
+
+def test_audit_and_partly_linked_balls(spark):
+    """Balls beside each other at the edge of the link angle, where members have to be compared."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=12)
+    side = np.cross(np.eye(3), centre[:3])[0].tolist() + [0.0] * 9
+    side = np.array(side) / np.linalg.norm(side) * np.linalg.norm(centre)
+    x = np.concatenate([centre * np.cos(t) + side * np.sin(t) + rng.normal(size=(k, 12)) * 0.03 for t, k in ((0, 300), (0.2, 900), (0.36, 40))]
+                       + [rng.normal(size=(400, 12))])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    result = nearvec.link(df)
+    got = result.toPandas().set_index("vec_id").sort_index()
+    e = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = e @ e.T >= 0.98
+    np.fill_diagonal(want, False)
+    assert (got.n_links == want.sum(1)).all()
+    assert got.component_id.tolist() == unite(len(x), np.argwhere(np.triu(want)).tolist())
+    r = nearvec.audit(df, result).first()
+    assert (r.queries, r.found, r.wanted, r.invented) == (82, want[::20].sum(), want[::20].sum(), 0)
+
+
+def test_search_walks_the_pruned_graph():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(300, 24))
+    x = np.concatenate([base, base[:100] + rng.normal(size=(100, 24)) * 0.02])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lists = nearvec.prune(x @ x.T)
+    assert all(i in lists[j] for i, c in enumerate(lists) for j in c)
+    seen = nearvec.search(x, lists, np.arange(len(x)), np.full(len(x), 0.35))
+    want = x @ x.T >= 0.98
+    assert (seen & want).sum() == want.sum() and seen.mean() < 0.9
+    lonely = [np.empty(0, int)] * len(x)
+    assert nearvec.medoids(x, lonely) == list(range(len(x)))
+
+
 def test_pages():
     said = "The first part of it, with a comma. And more of it follows here."
     page = f"<html><head><title>t</title></head><body><nav><a href=x>m</a></nav><article><h1>A &amp; b</h1><p>{said}<p>two<br>three <b>fo</b>ur<script>no</script></article><footer>f</footer></body>"
