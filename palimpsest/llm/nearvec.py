@@ -36,14 +36,20 @@ from palimpsest.llm.common import components, saved
 
 COSINE, NEAREST, CELL, PIVOTS, APART = 0.98, 3, 512, 16384, 0.9
 FOLD, FANOUT, DEEPER, LEVELS = 2048, 16, 2, 12  # rows of a folding task; pivots, cells and levels of deeper clustering
-DEGREE, CANDIDATES, FAR, ALPHA, BEAM = 12, 64, 16, 1.2, 16
+DEGREE, CANDIDATES, FAR, ALPHA, BEAM, VISITS = 12, 64, 16, 1.2, 16, 32768
 WIDER = 0.15  # radians by which the searched range exceeds the linked one
 GROUP = ["label", "dim", "cell"]
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """Rows (vec_id, label, v) of vectors that can link."""
-    return vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).where(_good(F.col("v")))
+    return vectors.select("vec_id", "label", _given(vectors).alias("v")).where(_good(F.col("v")))
+
+
+def _given(vectors: DataFrame) -> Column:
+    """The components: single precision is kept as it is while rows move (tasks compute in doubles), all else is double."""
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())
+    return F.col("embedding").cast(f"array<{'float' if single else 'double'}>")
 
 
 def _good(v: Column) -> Column:
@@ -116,38 +122,40 @@ def _lead(limit: float):
 def fold(assigned: DataFrame, least: float = COSINE) -> DataFrame:
     """Distinct vectors (label, dim, rid, v, cells) → (rid, lead, gap): balls whose vectors all link with each other."""
     limit = float(angle(least)) / 4 - 1e-5
-    found = None
-    for step in range(2):
-        now = assigned if found is None else assigned.join(found.select(F.col("lead").alias("rid")).distinct(), "rid", "left_semi")
-        rows = now.select("label", "dim", F.col("cells")[0].alias("cell"), "rid", "v")
-        parts = rows.groupBy(*GROUP).agg(F.ceil(F.count("*") / FOLD).alias("parts"))
-        cut = F.pmod(F.xxhash64("rid", F.lit(step)), F.col("parts")).alias("cut")
-        made = saved(rows.join(parts, GROUP).select(*GROUP, cut, "rid", "v").groupBy(*GROUP, "cut").applyInPandas(
+    rows = assigned.select("label", "dim", F.col("cells")[0].alias("cell"), "rid", "v")
+
+    def step(rows: DataFrame, parts: DataFrame, no: int) -> DataFrame:
+        cut = F.pmod(F.xxhash64("rid", F.lit(no)), F.col("parts")).alias("cut")
+        return saved(rows.join(parts, GROUP).select(*GROUP, cut, "rid", "v").groupBy(*GROUP, "cut").applyInPandas(
             _lead(limit), "rid long, lead long, gap double"))
-        if found is None:
-            found = made
-        else:
-            last = made.select(F.col("rid").alias("lead"), F.col("lead").alias("to"), F.col("gap").alias("more"))
-            found = found.join(last, "lead").select("rid", F.col("to").alias("lead"), (F.col("gap") + F.col("more")).alias("gap"))
-    return found
+
+    def parts_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*GROUP).agg(F.ceil(F.count("*") / FOLD).alias("parts"))
+    parts = saved(parts_of(rows))
+    once = step(rows, parts, 0)
+    # a second time in cells that were cut: their leaders met in one part only
+    leaders = once.where("rid = lead").select("rid")
+    again = rows.join(parts.where("parts > 1"), GROUP, "left_semi").join(leaders, "rid", "left_semi")
+    twice = step(again, parts_of(again), 1).select(F.col("rid").alias("lead"), F.col("lead").alias("to"), F.col("gap").alias("more"))
+    return once.join(twice, "lead", "left").select("rid", F.coalesce("to", "lead").alias("lead"), (F.col("gap") + F.coalesce("more", F.lit(0.0))).alias("gap"))
 
 
 def _split(both: pd.DataFrame) -> pd.DataFrame:
     """A bounded part of a large cell, with the cell's own pivots → its rows in the cells below."""
     part, pivots = (both[both["pivot"] == x].drop(columns=["cut", "pivot"]) for x in (False, True))
     if part.empty:
-        return part
+        return part.drop(columns="v")
     near = _nearest(unit(part["v"]), unit(pivots.sort_values("rid")["v"]), DEEPER)
     rows = part.loc[part.index.repeat(near.shape[1])]
-    return rows.assign(cell=[f"{c}/{k}" for c, k in zip(rows["cell"], near.ravel())])
+    return rows.drop(columns="v").assign(cell=[f"{c}/{k}" for c, k in zip(rows["cell"], near.ravel())])
 
 
 def shards_of(leaders: DataFrame, cell: int = CELL) -> DataFrame:
-    """Leaders (label, dim, rid, v, cells) → (label, dim, cell, rid, v), one row per leader and shard.
+    """Leaders (label, dim, rid, v, cells) → (label, dim, cell, rid), one row per leader and shard.
 
     Cells above the bound are clustered deeper until none is left; what ``LEVELS`` levels cannot part is cut by hash.
     """
-    placed = saved(leaders.select("label", "dim", F.explode("cells").alias("cell"), "rid", "v"))
+    placed = saved(leaders.select("label", "dim", F.explode("cells").alias("cell"), "rid"))
     done = None
     for level in range(LEVELS + 1):
         sizes = saved(placed.groupBy(*GROUP).agg(F.count("*").alias("size")))
@@ -159,8 +167,9 @@ def shards_of(leaders: DataFrame, cell: int = CELL) -> DataFrame:
         rows = placed.join(big, GROUP)
         if level == LEVELS:
             piece = F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / cell))
-            return done.union(rows.select("label", "dim", F.concat_ws("#", "cell", piece).alias("cell"), "rid", "v"))
+            return done.union(rows.select("label", "dim", F.concat_ws("#", "cell", piece).alias("cell"), "rid"))
         cuts = F.ceil(F.col("size") / FOLD)
+        rows = rows.join(leaders.select("rid", "v"), "rid")
         nth = F.row_number().over(W.partitionBy(*GROUP).orderBy(F.xxhash64("rid", F.lit(level)), "rid"))
         pivots = (rows.withColumn("nth", nth).where(F.col("nth") <= FANOUT)
                   .select(*GROUP, F.explode(F.sequence(F.lit(0).cast("long"), cuts - 1)).alias("cut"), "rid", "v", F.lit(True).alias("pivot")))
@@ -228,10 +237,9 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, within:
     ``within`` is each query's widened range in radians. All queries step at once: each expands the best vector of its
     beam and every vector in its range that it has not expanded yet. Cosines are computed for what is visited.
     """
-    n, m, width = len(x), len(queries), max([1, *map(len, lists)])
-    table = np.full((n, width), -1)
-    for i, c in enumerate(lists):
-        table[i, : len(c)] = c
+    n, m = len(x), len(queries)
+    degree = np.array([len(c) for c in lists])
+    flat, first = np.concatenate([*lists, np.empty(0, int)]).astype(int), np.cumsum(degree) - degree
     score, done = np.full((m, n), -2.0), np.zeros((m, n), bool)  # -2: not visited
     starts = medoids(x, lists)
     score[:, starts] = x[queries] @ x[starts].T
@@ -249,13 +257,17 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, within:
         step[go, best[go]] = True
         q, at = np.nonzero(step)
         done[active[q], at] = True
-        to = table[at].ravel()
-        q = np.repeat(active[q], width)[to >= 0]
-        new = np.unique(q * n + to[to >= 0])
-        new = new[score.ravel()[new] == -2.0]
-        for s in range(0, len(new), 65536):
-            a, b = np.divmod(new[s:s + 65536], n)
-            score[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
+        # in bounded pieces: a piece visits about ``VISITS`` neighbours
+        ends = np.cumsum(degree[at])
+        cuts = np.searchsorted(ends, np.arange(VISITS, ends[-1] if len(ends) else 0, VISITS))
+        for now, here in zip(np.split(active[q], cuts), np.split(at, cuts)):
+            d = degree[here]
+            to = flat[np.repeat(first[here] - (np.cumsum(d) - d), d) + np.arange(d.sum())]
+            new = np.unique(np.repeat(now, d) * n + to)
+            new = new[score.ravel()[new] == -2.0]
+            for s in range(0, len(new), VISITS):
+                a, b = np.divmod(new[s:s + VISITS], n)
+                score[a, b] = np.einsum("ij,ij->i", x[queries[a]], x[b])
         active = active[step.any(1)]
     return score > -2.0
 
@@ -314,7 +326,7 @@ def ball_pairs(balls: DataFrame, least: float = COSINE) -> DataFrame:
     """Balls (label, dim, rid, v, cells, radius) → (a, b, whole), each pair once, a < b."""
     placed = saved(shards_of(balls))
     reach = float(angle(least)) * 2 + WIDER
-    built = saved(placed.groupBy(*GROUP).applyInPandas(_build(reach), "rid long, near array<long>, wide array<long>"))
+    built = saved(placed.join(balls.select("rid", "v"), "rid").groupBy(*GROUP).applyInPandas(_build(reach), "rid long, near array<long>, wide array<long>"))
     united = saved(built.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"),
                                             F.array_distinct(F.flatten(F.collect_list("wide"))).alias("wide")))
     facts = balls.select("rid", "radius", "v")
@@ -332,12 +344,13 @@ def link(vectors: DataFrame, least: float = COSINE, nearest: int = NEAREST) -> D
     # equal vectors fold to one; null ids come last
     equal = ["label", "mark", "v"]
     distinct = saved(rows.groupBy(*equal).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+                     .withColumn("twins", F.count("*").over(W.partitionBy("label", "mark")))
                      .withColumn("dim", F.size("v")).withColumn("rid", F.monotonically_increasing_id()))
     bare = distinct.select("label", "dim", "rid", "v")
     schema = T.StructType([*bare.schema.fields, T.StructField("cells", T.ArrayType(T.StringType()))])
     assigned = saved(bare.mapInPandas(_assign(_pivots(bare, bare.count()), nearest), schema))
     folded = saved(fold(assigned, least))
-    members = saved(distinct.join(folded, "rid").select("rid", "lead", "gap", "first_id", "n", "v"))
+    members = saved(distinct.join(folded, "rid").select("rid", "lead", "gap", "first_id", "n"))
     weights = saved(members.groupBy("lead").agg(F.max("gap").alias("radius"), F.sum("n").alias("rows"), F.count("*").alias("size"),
                                                 F.min("first_id").alias("first")))
     pairs = ball_pairs(assigned.join(weights.select(F.col("lead").alias("rid"), "radius"), "rid"), least)
@@ -351,7 +364,7 @@ def link(vectors: DataFrame, least: float = COSINE, nearest: int = NEAREST) -> D
     def side(mine: str, other: str) -> DataFrame:
         block = F.pmod(F.xxhash64("rid", F.lit("block")), F.col(f"of_{mine}")).alias(f"block_{mine}")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"of_{other}") - 1)).alias(f"block_{other}")
-        return (open_.join(members.select(F.col("lead").alias(mine), "rid", "n", "v"), mine)
+        return (open_.join(members.select(F.col("lead").alias(mine), "rid", "n"), mine).join(bare.select("rid", "v"), "rid")
                 .select("a", "b", block, "rid", "n", "v", every, F.lit(mine == "a").alias("first")))
     partly = saved(side("a", "b").unionByName(side("b", "a")).groupBy("a", "b", "block_a", "block_b").applyInPandas(
         _compare(least), "a long, b long, rid long, links long"))
@@ -365,10 +378,14 @@ def link(vectors: DataFrame, least: float = COSINE, nearest: int = NEAREST) -> D
     smallest = balls.groupBy("component").agg(F.min("first").alias("component_id"))
     balls = saved(balls.join(smallest, "component").select("lead", (F.col("rows") - 1 + F.coalesce("beside", F.lit(0))).alias("links"), "component_id"))
     extra = partly.groupBy("rid").agg(F.sum("links").alias("extra"))
-    facts = saved(distinct.select(*equal, "rid").join(folded.select("rid", "lead"), "rid").join(balls, "lead").join(extra, "rid", "left")
-                  .select(*equal, (F.col("links") + F.coalesce("extra", F.lit(0))).alias("n_links"), "component_id"))
-    linked = rows.join(facts, equal).select("vec_id", "n_links", "component_id")
-    alone = vectors.where(~_good(F.col("embedding").cast("array<double>"))).select(
+    facts = (distinct.select(*equal, "rid", "twins").join(folded.select("rid", "lead"), "rid").join(balls, "lead").join(extra, "rid", "left")
+             .withColumn("n_links", F.col("links") + F.coalesce("extra", F.lit(0))))
+    # the mark names a vector unless two vectors share one; those are told apart by their components
+    plain = saved(facts.where("twins = 1").select("label", "mark", "n_links", "component_id"))
+    told = facts.where("twins > 1").select(*equal, "n_links", "component_id")
+    columns = ["vec_id", "n_links", "component_id"]
+    linked = rows.join(plain, ["label", "mark"]).select(*columns).union(rows.join(told, equal).select(*columns))
+    alone = vectors.where(~_good(_given(vectors))).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
