@@ -71,7 +71,9 @@ def _cells(distinct: DataFrame, groups: int, distance: int) -> DataFrame:
 def linked(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS) -> DataFrame:
     """Distinct fingerprints (fp) → (node, component) of those that link with others, over the links of ``distance``."""
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
-    cells = _cells(distinct, groups, distance)
+    # spread before every fingerprint becomes many rows: small partitions would be merged by their size of now
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _cells(distinct.repartition(parts, "fp"), groups, distance)
     lows = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
     crowded = saved(cells.join(lows.select("cell", "low"), "cell"))
     first = components(crowded.where((F.col("fp") != F.col("low")) & near("fp", "low"))
