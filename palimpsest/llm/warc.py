@@ -139,7 +139,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.alias("html"))
     keyed = keyed.withColumn("key", F.sha2("html", 256))
     rows = keyed.where(F.octet_length("html") >= least).select("page_id", "key")
-    firsts = rows.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are dealt out anew and AQE can split a frequent payload
+    firsts = saved(rows.groupBy("key").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"))
     again = (rows.join(firsts, "key").where(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")))
              .select(F.col("page_id").alias("_page"), F.col("key").alias("_key"), F.col("first_id").alias("refers_to")).distinct())
     met = keyed.join(again, keyed["page_id"].eqNullSafe(again["_page"]) & (keyed["key"] == again["_key"]), "left")
