@@ -347,8 +347,8 @@ def sample(texts: list[str], keys: np.ndarray, lat: Lattice, k: int = SAMPLES) -
     ends = np.cumsum(count)  # of the words, in edges
     per = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
     stop = np.cumsum(per)
-    sums = np.cumsum(lat.logp[edges])
-    sums = sums - np.repeat(np.concatenate(([0.0], sums))[stop - per], per)
+    # per text, so that the figures do not depend on the batch
+    sums = np.concatenate([*(np.cumsum(lat.logp[edges[b - c: b]]) for b, c in zip(stop.tolist(), per.tolist())), np.empty(0)])
     paths: list[list[_Path]] = []
     for i, u in enumerate(coins(0)):
         a, b = stop[i] - per[i], stop[i]
