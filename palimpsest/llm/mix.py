@@ -80,7 +80,11 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, epochs: int = EPOCHS) -> DataFrame:
-    """Documents (doc_id, source, text) → (doc_id, copy, source, size, source_size, target, taken)."""
+    """Documents (doc_id, source, text) → (doc_id, copy, source, size, source_size, target, taken, first_slot).
+
+    ``first_slot`` is the first slot of the schedule that takes words of the document (null: none does). Slots below
+    any number hold the sources by their weights, so the mix can be read in slot order and stopped anywhere.
+    """
     digest = saved(docs.select("doc_id", "source", word_count(text_of()).alias("size"))
                    .groupBy("doc_id", "source", "size").count()
                    .select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy")))
@@ -107,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, epochs: int = EPOCHS
     slots = schedule(targets, block)
     taken = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)
     return (pieces.join(slots, ["sid", "block_no"], "left").groupBy(*keys)
-            .agg(F.sum(taken).cast("long").alias("taken")))
+            .agg(F.sum(taken).cast("long").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot")))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
@@ -119,14 +123,14 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
         F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
     m = m.groupBy("_id", "_source", "_size").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0")
-    d = docs.withColumn("_words", word_count(text_of()))
+    # the row travels in a struct, so that no column name can clash
+    d = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count(text_of()).alias("words"))
     # equal rows share their takes: the larger shares first, the same for whichever row comes first
-    nth = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy(*docs.columns))
-    on = d["doc_id"].eqNullSafe(m["_id"]) & d["source"].eqNullSafe(m["_source"]) & (d["_words"] == m["_size"])
-    once = d.join(m, on).where("_rows = 1")
+    nth = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("row"))
+    on = F.col("id").eqNullSafe(F.col("_id")) & F.col("of").eqNullSafe(F.col("_source")) & (F.col("words") == F.col("_size"))
+    once = d.join(m.where("_rows = 1"), on)
     many = (d.join(m.where("_rows > 1"), on).withColumn("_nth", nth)
             .withColumn("_times", F.floor(F.col("_times") / F.col("_rows"))
                         + F.when(F.col("_nth") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)).where("_times > 0"))
-    out = once.select(*docs.columns, F.col("_times").cast("long").alias("_times")).union(
-        many.select(*docs.columns, F.col("_times").cast("long").alias("_times")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    out = once.select("row", F.col("_times").cast("long").alias("_times")).union(many.select("row", F.col("_times").cast("long").alias("_times")))
+    return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("_n")).select("row.*")

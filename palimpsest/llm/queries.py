@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_mix")
 def op1(spark, folder):
     m = mix.mix(table(spark, folder, "documents"))
-    return m.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return m.select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
 
 
 @query("op3_shard")
