@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.common import text_of
+
 DIMS, SAMPLE, THRESHOLD, EPOCHS, COST, FOLDS, SPAN = 1 << 17, 4000, 0.3, 12, 1.0, 3, 1 << 20
 _SHIFT = np.uint32(32 - (DIMS - 1).bit_length())
 
@@ -116,8 +118,10 @@ def learning_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
         part = learn.where(F.col("_quality") == side).orderBy("_mark", "_id").limit(sample).withColumn("_rows", F.lit(float(share.get(side, 1.0))))
         picked = part if picked is None else picked.union(part)
     # two times ``sample`` rows of a few numbers: safe to send to every task
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select(
-        "text", F.col("_quality").alias("quality"), F.col("_mark").alias("mark"), F.col("_rows").alias("rows"))
+    # a repeated doc_id teaches with one of its texts, the smallest, so the bound is one of rows too
+    rows = docs.select(F.col("doc_id").alias("_doc"), text_of().alias("text"))
+    return (rows.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).groupBy("_id", "_quality", "_mark", "_rows").agg(F.min("text").alias("text"))
+            .select("text", F.col("_quality").alias("quality"), F.col("_mark").alias("mark"), F.col("_rows").alias("rows")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:

@@ -116,6 +116,49 @@ def test_mix_fills_small_sources(spark):
     assert mix.mixed_documents(df).select("source").distinct().count() == len(sizes)
 
 
+def test_any_prefix_of_the_mix_keeps_the_weights(spark):
+    rows = [(i, f"s{i % 3}", "w " * (1 + i * 7919 % 300)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix.mix(df, block=64).toPandas()
+    assert (got.first_slot.isna() == (got.taken == 0)).all()
+    targets = got.groupby("source").target.first()
+    share = (targets / targets.sum()).to_numpy()
+    slots = mix.schedule(spark.createDataFrame([(i, float(t)) for i, t in enumerate(targets)], "sid long, target double"), 64).toPandas()
+    seen = np.cumsum(slots.sort_values("slot").sid.to_numpy()[:, None] == np.arange(3), axis=0)
+    n = np.arange(1, len(seen) + 1)[:, None]
+    whole = n[:, 0] < 0.95 * len(seen)  # near the end sources whose blocks are used up fall out
+    assert (abs(seen - n * share) <= 1 + np.log2(n + 1))[whole].all()
+
+
+def test_pipeline_with_clashing_names(spark, tmp_path):
+    import corpus_pipeline
+
+    extra = ["_times", "_quality", "_n", "_row", "_rows", "_id", "_mark", "_source", "_size", "_key", "row", "words", "of", "id", "fp"]
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for i in range(240):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(word() + ("###" if bad and rng.random() < 0.6 else "") for _ in range(40))))
+    rows += [(300 + i, rows[4 * i + 1][1].replace(" ", "\n ", 1)) for i in range(20)]  # exact copies
+    rows += [(400 + i, rows[4 * i + 2][1]) for i in range(20)]
+    rows += [(500, None), (501, ""), (None, "no id " + rows[5][1])]
+    df = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *(F.lit("x").alias(c) for c in extra))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, left = df, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.saved(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == df.columns
+        left.append({r.doc_id for r in docs.select("doc_id").collect()})
+    good, exact_kept, near_kept, mixed = left
+    assert {i for i in good if i is not None and i < 240 and i % 4 == 0} == set() and len(good) >= 220
+    assert not exact_kept & (set(range(300, 320)) | set(range(400, 420))) and mixed <= near_kept <= exact_kept <= good
+    out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert set(out.doc_id.dropna()) == {i for i in mixed if i is not None} and out.decoded_equal.all()
+
+
 def test_slots_are_the_first_points_of_each_share(spark):
     target = [70_000.0, 40.0, 9_000.0, 0.2, 300.0]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(target)], "sid long, target double")
@@ -256,6 +299,8 @@ def test_quality(spark):
     assert (known.held_out == known.doc_id.map(lambda i: zlib.crc32(str(int(i)).encode()) % 5 == 0)).all()
     held = known[known.held_out]
     assert ((held.predicted == 1) == (held.doc_id % 3 != 0)).mean() > 0.95
+    repeated = df.where("doc_id = 1").withColumn("text", F.lit("zz")).union(df.where("doc_id = 1"))
+    assert quality.learning_rows(df.union(repeated), lab).count() == quality.learning_rows(df, lab).count()
     flat = quality.classify(df, lab.where("quality = 1")).toPandas()
     assert (flat.predicted == 1).all() and (quality.classify(df, lab.limit(0)).toPandas().score == 0.5).all()
 
@@ -456,6 +501,17 @@ def test_samples_follow_the_lattice():
         assert abs(inclusion.get(p, 0) - math.exp(w - total)) < 0.05
 
 
+def test_samples_do_not_depend_on_batches():
+    lat = pieces.Lattice(pieces.Vocabulary(pieces.model_bytes()))
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    keys = np.arange(60).astype(np.uint64) * np.uint64(7919)
+    plain = lambda rows: [(s[0].tolist(), *s[1:]) for s in rows]
+    together = pieces.sample(texts, keys, lat, 3)
+    for i, t in enumerate(texts):
+        assert plain(together[i]) == plain(pieces.sample([t], keys[i: i + 1], lat, 3)[0])
+
+
 def test_encoding_round_trip(docs, spark):
     odd = ["", " ", "  a\n\tb ▁ 中\U0001f600  ", "▁", "x" * 400, None]
     df = docs.select("doc_id", "text", "size").union(spark.createDataFrame([(i + 500, t, 1) for i, t in enumerate(odd)], "doc_id long, text string, size long"))
