@@ -18,9 +18,12 @@ def number_paragraphs(paras: DataFrame, lists: DataFrame, levels: int = 9) -> Da
     share abs_id count on; an override restarts its level once, on the first use by its num_id; deeper
     levels restart after a shallower item. Bullets are not counted.
     """
-    t = paras.join(lists, "num_id")
+    # Definitions repeat in every row, so only what is counted by goes through the windows; the rest is looked up after.
+    lists = lists.withColumn("_list", F.md5(F.to_json(F.struct("abs_id", "defs", "overrides"))))
     d = F.try_element_at("defs", F.col("lvl"))
-    t = t.withColumn("_fmt", d["fmt"]).withColumn("_start", d["start"]).filter(F.col("_fmt").isNotNull())
+    t = paras.join(lists, "num_id").select(
+        *[paras[c] if c == "num_id" else c for c in paras.columns], "abs_id", "_list", d["fmt"].alias("_fmt"), d["start"].alias("_start"),
+        F.try_element_at("overrides", F.col("lvl")).alias("_again")).filter(F.col("_fmt").isNotNull())
     counted = F.col("_fmt") != "bullet"
     by = ["doc_id", "abs_id"]
     run = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -29,7 +32,7 @@ def number_paragraphs(paras: DataFrame, lists: DataFrame, levels: int = 9) -> Da
     own = F.element_at(F.array(*[F.col(f"_g{k}") for k in range(levels)]), F.col("lvl") + 1)
     t = t.withColumn("_own", own)
     use = Window.partitionBy("doc_id", "num_id", "lvl").orderBy("pos")
-    over = F.when(F.row_number().over(use) == 1, F.try_element_at("overrides", F.col("lvl")))
+    over = F.when(F.row_number().over(use) == 1, F.col("_again"))
     t = t.withColumn("_over", F.when(counted, over))
     level = Window.partitionBy(*by, "lvl", "_own", counted).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_isle", F.count("_over").over(level))
@@ -38,7 +41,8 @@ def number_paragraphs(paras: DataFrame, lists: DataFrame, levels: int = 9) -> Da
     t = t.withColumn("value", F.when(counted, first + F.row_number().over(isle) - 1))
     shown = [F.last(F.when(F.col("lvl") == k, F.col("value")), ignorenulls=True).over(
         Window.partitionBy(*by, f"_g{k}").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias(f"_v{k}") for k in range(levels)]
-    t = t.select("*", *shown)
+    one = lists.groupBy("num_id", "_list").agg(F.first("defs").alias("defs"))
+    t = t.select("*", *shown).join(one, ["num_id", "_list"])
     marker = d["text"]
     for k in range(levels):
         dk = F.try_element_at("defs", F.lit(k))
