@@ -189,3 +189,23 @@ def test_short_equal_island_is_absorbed():
     assert K.edit_runs(a, b, info(a), info(b)) == [[False, [0, 1, 2], [0, 1, 2]]]
     a, b = ["ab", " ", "cd"], ["ef", " ", "gh"]
     assert [r[0] for r in K.edit_runs(a, b, info(a), info(b))] == [False, True, False]
+
+
+def test_overlaps_do_not_depend_on_how_many_are_worked_out_at_a_time(monkeypatch):
+    from collections import Counter
+    rng = random.Random(11)
+    for _ in range(60):
+        a, b = ([[rng.randrange(6) for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(1, 8))] for _ in "ab")
+        want = [[(Counter(x) & Counter(y)).total() for y in b] for x in a]
+        groups = {(split, cells): None for split in (True, False) for cells in (1, 9, 1 << 20)}
+        for split, cells in groups:
+            monkeypatch.setattr(K, "CELLS", cells)
+            assert [r.tolist() for r in K.overlaps(a, b)] == want
+            groups[split, cells] = K.pair_gap(a, b, split)
+        assert all(groups[split, 1] == groups[split, c] for split in (True, False) for c in (9, 1 << 20))
+
+
+def test_rows_of_a_slice_with_nulls():
+    import pyarrow as pa
+    x = pa.array([[[1], []], None, [[2, 3]], [], [[4], [5, 6]]])
+    assert [K._rows(x.slice(i, 3)) for i in range(3)] == [x.slice(i, 3).to_pylist() for i in range(3)]
