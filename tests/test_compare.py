@@ -128,3 +128,31 @@ def test_formatting(spark):
     rows = {(r.sec, r.kind) for r in cp.compare_rows(a, b).collect()}
     assert rows == {("header", "modified"), ("body", "format")}
     assert cp.compare_changes(a, b, PLAIN).count() == 1
+
+
+def test_context_explodes_only_what_changed(spark):
+    """Tokens that belong to no change are summed up in the rows, not exploded; the spans stay those of the whole text."""
+    same = " ".join(f"w{i}" for i in range(200))
+    a, b = pairs(spark, [([f"{same} 30 days, {same} end"], [f"{same} 45 days, {same} close"]), (["left alone", "goes"], ["left alone"])])
+    rows = ch.context_entries(cp.compare_rows(a, b, PLAIN, equal_rows=False))
+    assert "merged" not in rows.columns
+    flat = ch.flat_merged(rows.withColumn("clause", F.lit(None).cast("string")), formats=False)
+    assert flat.count() == 5  # two replaced words of two tokens each, one removed row
+    got = {(r.pair_id, r.before): r for r in ch.changes_in_context(flat).collect()}
+    assert {k: r.after for k, r in got.items()} == {(0, "30"): "45", (0, "end"): "close", (1, "goes"): ""}
+    for (_, before), r in got.items():
+        assert r.a[r.a_start:r.a_end] == before and r.b[r.b_start:r.b_end] == r.after
+    assert got[0, "end"].a == f"{same} 30 days, {same} end" and got[1, "goes"].b == ""
+
+
+def test_numbers_are_searched_around_the_span_only(spark):
+    from palimpsest.functions import numbers as N
+    text = "in 2 rows 1,234,567.5 万 of 2026-03-01, 十二 or 3 万" + " x9" * 50
+    spans = spark.createDataFrame([(text, s, e) for s in range(len(text)) for e in {s, min(s + 1, len(text)), min(s + 4, len(text))}], "t string, s int, e int")
+    inside = lambda p: F.filter(N.hits(F.col("t"), p), lambda h: (h["e"] > F.col("s")) & (h["s"] < F.greatest(F.col("e"), F.col("s") + 1)))
+    near = lambda p: N._overlapping(F.col("t"), p, F.col("s"), F.col("e"))
+    for p in (N.NUM_RE, *N.DATE_RES):
+        assert spans.filter(~(near(p) == inside(p))).count() == 0
+        assert spans.filter(F.size(inside(p)) > 0).count() or "年" in p
+    plan = spans.select(N.number_at(F.col("t"), F.col("s"), F.col("e")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract_all(t#" not in plan
