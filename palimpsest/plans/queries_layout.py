@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import docstruct as ds, layout as la, pages as pg
-from palimpsest.plans.catalog import Tables, query
+from palimpsest.plans.catalog import Tables, dealt, query
 from palimpsest.plans.inputs import WS_SQL, cte, lines, q, with_
 
 # ---- positioned lines ---------------------------------------------------------------------------------
@@ -21,11 +21,15 @@ def text_lines(t: Tables) -> DataFrame:
         (800.0 - 12.0 * (p % 20) - F.when(h % 4 == 0, 10.0).otherwise(0.0)).alias("y"),
         F.when(p == 0, 14.0).when(h % 19 == 7, 9.0).otherwise(10.5).alias("size"),
         (72.0 + F.least(F.length("line"), F.lit(90)) * 5.0).alias("end_x"), F.contains("line", F.lit(" | ")).alias("cols"), F.col("line").alias("text"))
-    n = body.groupBy("doc_id", "page").agg(F.lit(99).alias("k"))
-    foot = n.select("doc_id", "page", "k", F.lit(30.0).alias("y"), F.lit(9.0).alias("size"), F.lit(320.0).alias("end_x"), F.lit(False).alias("cols"),
+    # The last line of a page brings the page number along; lines that were dealt by document stay where they are.
+    last = F.lead("k").over(Window.partitionBy("doc_id", "page").orderBy("k")).isNull()
+    foot = F.struct(F.lit(99).alias("k"), F.lit(30.0).alias("y"), F.lit(9.0).alias("size"), F.lit(320.0).alias("end_x"), F.lit(False).alias("cols"),
                     F.concat(F.lit("Page "), F.col("page").cast("string")).alias("text"))
+    own = F.struct("k", "y", "size", "end_x", "cols", "text")
+    both = body.withColumn("last", last).select("doc_id", "page", F.explode(F.when(F.col("last"), F.array(own, foot)).otherwise(F.array(own))).alias("z")) \
+        .select("doc_id", "page", "z.*")
     w = Window.partitionBy("doc_id").orderBy("page", "k")
-    return body.unionByName(foot).withColumn("line", F.row_number().over(w) - 1).withColumn("x", F.lit(72.0)) \
+    return both.withColumn("line", F.row_number().over(w) - 1).withColumn("x", F.lit(72.0)) \
         .withColumn("bold", F.lit(False)).drop("k")
 
 
@@ -81,8 +85,8 @@ def _(t: Tables) -> DataFrame:
     CASE WHEN doc_id IN (SELECT doc_id FROM lines WHERE pos % 10 = 9) THEN 'found' ELSE 'unknown' END AS footnote,
     bool_or(hf AND pn) AS page_numbers_dropped FROM (SELECT *, regexp_matches(text, '^Page \\d+$') OR trim(text) = '' AS pn FROM headed) GROUP BY doc_id"""))
 def _(t: Tables) -> DataFrame:
-    h = la.running_heads(text_lines(t))
-    return la.section_info(h, _footnotes(t))
+    t = dealt(t)
+    return la.section_info(la.running_heads(text_lines(t)), _footnotes(t))
 
 
 @query("wn12_full_lines", with_("bl", """SELECT doc_id, CAST(line AS INTEGER) AS line, coalesce(NOT cols AND end_x >= max(CASE WHEN NOT cols THEN end_x END) OVER (PARTITION BY doc_id, page, size) - size * 1.5, false) AS "full" FROM bl"""))
@@ -132,7 +136,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Words of a line as text items on one baseline, with wide gaps after bars; in every fifth line the first
     gap is an item of its own, after every sixth line stands a raised two-digit reference in two pieces."""
-    words = lines(t).select("doc_id", "pos", "h", F.posexplode(F.filter(F.split("line", " "), lambda s: s != "")).alias("i", "str"))
+    words = lines(dealt(t)).select("doc_id", "pos", "h", F.posexplode(F.filter(F.split("line", " "), lambda s: s != "")).alias("i", "str"))
     w = Window.partitionBy("doc_id", "pos").orderBy("i")
     own = (F.col("h") % 5 == 1) & (F.col("i") == 0)
     gap = F.when((F.col("str") == "|") & ~own, 20.0).otherwise(3.0)

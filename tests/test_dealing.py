@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import Row
 
-from palimpsest.operators import docstruct as ds
+from palimpsest.operators import docstruct as ds, layout as la
 from palimpsest.plans import registry
 from palimpsest.plans.catalog import Tables
 
@@ -45,3 +45,20 @@ def test_definitions_are_not_carried_through_the_windows(spark):
     deepest = max(i for i, line in enumerate(lines) if "Window [" in line)
     inner = next(line for line in lines[deepest:] if "Project [" in line)
     assert "_start" in inner and not re.search(r"[\[ ]defs#\d+[,\]]", inner)
+
+
+@pytest.mark.parametrize("name", ["wn11_assembled_lines", "ag23_section_info"])
+def test_lines_and_words_stay_with_their_text(spark, folder, name):
+    df = registry.QUERIES[name](Tables(spark, folder))
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in plan if "Exchange" in line and "BroadcastExchange" not in line]
+    assert moved and all("REPARTITION_BY_NUM" in line and "(doc_id" in line for line in moved)
+    assert df.count()
+
+
+def test_masks_are_counted_by_page(spark):
+    rows = [(1, 0, 1, 800.0, "Deed 1"), (1, 1, 1, 400.0, "Deed 1"), (1, 2, 2, 800.0, "Deed 2"), (1, 3, 2, 799.0, "once"), (1, 4, 3, 800.0, "Deed  3"),
+            (1, 5, 3, 798.0, "twice"), (1, 6, 3, 797.0, "twice"), (None, 0, 1, 800.0, "Deed 1"), (None, 1, 2, 800.0, "Deed 2")]
+    lines = spark.createDataFrame([(*r, 10.0) for r in rows], "doc_id long, line int, page int, y double, text string, size double")
+    got = la.running_heads(lines).filter("doc_id = 1").collect()
+    assert {r.line for r in got if r.hf} == {0, 2, 4}
