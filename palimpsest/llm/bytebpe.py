@@ -221,8 +221,8 @@ def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str | None = N
     spark = docs.sparkSession
     enc = encoder(spark, path)
     counts, java = counted_words(docs, pattern or default_pattern())
-    known = frequent(counts, memo).select("word", enc.word(F.col("word")).alias("ids")).toArrow().combine_chunks()  # at most ``memo`` rows
-    sent = spark.sparkContext.broadcast({"known": to_ipc(known)})
+    known = frequent(counts, memo).select("word", enc.word(F.col("word")).alias("ids")).toArrow()  # at most ``memo`` rows
+    sent = spark.sparkContext.broadcast(known)  # as it came: the driver makes no copy of it
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (docs.select("doc_id", words_of(text_of(), java).alias("words"))
             .mapInArrow(lambda batches: from_memo(batches, sent), f"doc_id {kind}, runs array<array<int>>, rest array<string>"))
@@ -231,19 +231,12 @@ def encode_documents(docs: DataFrame, path: str = RANKS, pattern: str | None = N
     return rows.select("doc_id", whole.alias("ids"))
 
 
-def to_ipc(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
 def from_memo(batches, sent):
     """Words of each row → the ids of the known words in runs, and the unknown words that stand between the runs.
 
     Rows are taken some ``WORDS`` words at a time, which bounds a worker's memory only.
     """
-    table = pa.ipc.open_stream(sent.value["known"]).read_all().combine_chunks()
+    table = sent.value.combine_chunks()
     known = table.column("word").combine_chunks() if len(table) else pa.array([], pa.string())
     lists = table.column("ids").combine_chunks() if len(table) else pa.array([[0]], pa.list_(pa.int32()))
     starts, flat = lists.offsets.to_numpy(), lists.values.to_numpy()

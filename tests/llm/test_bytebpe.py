@@ -3,7 +3,9 @@
 import hashlib
 import random
 import struct
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -69,3 +71,12 @@ def test_query_digests(spark):
         ids = PLAIN.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_memo_as_it_was_collected():
+    """The memo goes to the workers in the pieces it came in, without a copy on the driver."""
+    piece = lambda words: pa.table({"word": pa.array(words, pa.string()), "ids": pa.array([[len(w), 7] for w in words], pa.list_(pa.int32()))})
+    sent = SimpleNamespace(value=pa.concat_tables([piece(["a", "bb"]), piece([]), piece(["ccc"])]))
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1, 2, None], "words": [["ccc", "x", "a"], [], ["bb"]]})
+    got = pa.Table.from_batches(bytebpe.from_memo([docs], sent)).to_pylist()
+    assert got == [{"doc_id": 1, "runs": [[3, 7], [1, 7]], "rest": ["x"]}, {"doc_id": 2, "runs": [[]], "rest": []}, {"doc_id": None, "runs": [[2, 7]], "rest": []}]
