@@ -75,7 +75,8 @@ def linked(distinct: DataFrame, distance: int = DISTANCE, groups: int = GROUPS)
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = _cells(distinct.repartition(parts, "fp"), groups, distance)
     lows = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    crowded = saved(cells.join(lows.select("cell", "low"), "cell"))
+    # planned sizes leave out that a fingerprint has many cells: without the hint Spark may broadcast them
+    crowded = saved(cells.hint("merge").join(lows.select("cell", "low"), "cell"))
     first = components(crowded.where((F.col("fp") != F.col("low")) & near("fp", "low"))
                        .select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
     home = crowded.select("cell", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left").select(
