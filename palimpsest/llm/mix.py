@@ -75,7 +75,8 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     base = placed.groupBy("sid", "chunk").count().select(
         "sid", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot"))
-    return (placed.withColumn("rank", rank).join(base, ["sid", "chunk"])
+    # planned sizes are those of the few sources, not of the slots made of them: without the hints Spark may broadcast slots
+    return (placed.withColumn("rank", rank).hint("merge").join(base, ["sid", "chunk"])
             .withColumn("block_no", F.col("base") + F.col("rank") - 1).where("block_no < need").select("slot", "sid", "block_no"))
 
 
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 0, block: int = BLOCK, epochs: int = EPOCHS
                       (F.least("stop", (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)).alias("words")))
     slots = schedule(targets, block)
     taken = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)
-    return (pieces.join(slots, ["sid", "block_no"], "left").groupBy(*keys)
+    return (pieces.join(slots.hint("merge"), ["sid", "block_no"], "left").groupBy(*keys)
             .agg(F.sum(taken).cast("long").alias("taken"), F.min(F.when(F.col("words") > 0, F.col("slot"))).alias("first_slot")))
 
 

@@ -176,6 +176,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_slots_are_never_broadcast(spark):
+    """The targets are a row per source, their slots grow with the words; the planned size is that of the targets."""
+    targets = spark.range(3).select(F.col("id").alias("sid"), (F.col("id") * 1e7 + 1e7).alias("target"))
+    assert not re.search(r"Broadcast\w*Join \[[^\]]*chunk", plan_of(mix.schedule(targets)))
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"), F.lit("a b c").alias("text"))
+    plan = plan_of(mix.mix(docs))
+    assert re.search(r"SortMergeJoin \[[^\]]*block_no", plan) and not re.search(r"Broadcast\w*Join \[[^\]]*(block_no|chunk)", plan)
+
+
 def test_permutation_is_a_permutation_with_an_inverse():
     for n in (1, 2, 3, 5, 40, 257, 1000):
         p = shard.permute(np.arange(n), n, 3)
