@@ -52,10 +52,11 @@ def rows_of(docs: DataFrame, key: Column, stay: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is in ``stay`` (_key), all columns; of several rows with one key the smallest.
 
     The columns travel inside one struct, so their names cannot clash with the key's; choosing among repeated rows
-    reuses the join's partitioning, hence the texts are shuffled once.
+    reuses the join's partitioning, hence the texts are shuffled once. Keys are longer than the strings of Spark's planned
+    sizes, so they are kept from being broadcast by the hint; the shuffle they then share is needed anyway.
     """
     rows = docs.select(key.alias("_key"), F.struct(*docs.columns).alias("_row"))
-    return rows.join(stay, "_key", "left_semi").groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
+    return rows.join(stay.hint("merge"), "_key", "left_semi").groupBy("_key").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exact, html, mix, nearvec, pieces, quality, secrets, shard, simhash, warc
+from palimpsest.llm.common import rows_of as rows_with_keys
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, component int, _t string, bucket int"
 
@@ -277,6 +278,13 @@ def test_simhash_links_dense_and_chained_groups(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+def test_kept_keys_are_never_broadcast(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    key = F.col("doc_id").cast("string")
+    plan = plan_of(rows_with_keys(docs, key, spark.range(0, 40, 2).select(F.col("id").cast("string").alias("_key"))))
+    assert "SortMergeJoin [_key" in plan and "Broadcast" not in plan
+
+
 def test_cells_are_never_broadcast(spark, monkeypatch):
     """A fingerprint has 70 cells, which the planned size leaves out: below Spark's limit as fingerprints, far beyond it as cells."""
     plans, saved = [], simhash.saved
