@@ -350,7 +350,7 @@ def _(t: Tables) -> DataFrame:
     x AS (SELECT doc_id, pos, ln, w[i] AS w, CAST(coalesce(sum(len(w[i]) + 1) OVER (PARTITION BY doc_id, pos ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS f FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM ws))
     SELECT doc_id, pos // 20 + 1 AS page, CAST(ln AS INTEGER) AS line, f AS "from", CAST(f + len(w) AS INTEGER) AS "to" FROM x WHERE w <> '' AND (len(w) * 37 + pos * 11) % 101 < 70"""))
 def _(t: Tables) -> DataFrame:
-    ln = lines(t).withColumn("page", F.expr("pos div 20 + 1"))
+    ln = lines(dealt(t)).withColumn("page", F.expr("pos div 20 + 1"))
     word = F.transform(F.split("line", " "), lambda w: F.struct(w.alias("w"), ((F.length(w) * 37 + F.col("pos") * 11) % 101).alias("conf")))
     p = ln.withColumn("ws", word).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "line", "ws"))).alias("z"))
     return pg.low_positions(p.select("doc_id", "page", F.array_join("z.line", "\n").alias("text"), F.flatten("z.ws").alias("words")))

@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import Row
 
@@ -27,6 +28,45 @@ def test_only_texts_are_shuffled(spark, folder, name):
     assert df.count()
 
 
+@pytest.fixture
+def foreign(spark):
+    """Settings of a session that this library did not build, and no broadcast."""
+    own = {"spark.sql.requireAllClusterKeysForCoPartition": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["red1_redline_pieces", "red2_result_text", "wn2_edit_segments", "wn23_low_confidence_words"])
+def test_tokens_of_any_session_stay_with_their_text(foreign, folder, name):
+    df = registry.QUERIES[name](Tables(foreign, folder))
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [line for line in plan if "Exchange" in line]
+    assert moved and all("REPARTITION_BY_NUM" in line and "(doc_id" in line for line in moved)
+    assert df.count()
+
+
+@pytest.mark.parametrize("name", ["jn24_comment_anchors", "jn26_opposite_marks", "jn33_highlight_slices"])
+def test_comments_come_to_the_tokens(foreign, tmp_path, name):
+    """No token is shuffled, and only lines or pairs with comments are cut into tokens; the rows are those of the SQL."""
+    turns = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "c"), (2, 7, "bot", "no such line"), (9, 0, "user", "no such text"), (None, 0, "user", "d")]
+    foreign.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    texts = [(1, "one two three four five six\na,b,c,d,e,f,g,h,i,j,k | l\n\nno comment here"), (2, "six seven and so on for some words\nten"), (3, "never discussed"), (None, "no id")]
+    foreign.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = registry.QUERIES[name](Tables(foreign, str(tmp_path)))
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert all(re.search(r"hashpartitioning\((doc_id|pair_id|conv_id)#\d+L?(, turn#\d+L?)?, ", line) for line in plan if "Exchange" in line)
+    assert any("LeftSemi" in line for line in plan)
+    duck = duckdb.connect()
+    for table in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    want = duck.execute(registry.ORACLE[name]).fetchall()
+    assert df.count() and sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
 def test_repeated_and_missing_ids_keep_their_tokens(spark, folder):
     got = registry.QUERIES["wn10_token_offsets"](Tables(spark, folder)).filter("side = 'a'").groupBy("pair_id").count().collect()
     assert {r.pair_id: r["count"] for r in got} == {1: 2, 2: 2, None: 1}  # the first lines of both texts are one row
