@@ -6,8 +6,9 @@ import duckdb
 import pytest
 from pyspark.sql import Row
 
-from palimpsest.operators import docstruct as ds, layout as la
-from palimpsest.plans import registry
+from palimpsest.operators import docstruct as ds, layout as la, report, tokens
+from palimpsest.options import CompareOptions
+from palimpsest.plans import compare, registry
 from palimpsest.plans.catalog import Tables
 
 
@@ -110,3 +111,16 @@ def test_spacing_reads_the_lines_once(spark):
     stats = la.spacing_stats(spark.createDataFrame(rows, "doc_id long, line int, page int, y double, size double, cols boolean"))
     assert sorted((r.doc_id, r.page, r.typical, r.source) for r in stats.collect()) == [(1, 1, 1.05, "page"), (1, 2, 1.05, "doc"), (1, 3, None, "fixed")]
     assert stats._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_tokens_of_changed_rows_stay_with_their_row(foreign):
+    """Behind the alignment kernels rows are dealt by pair before they are taken apart; no token is shuffled after that."""
+    a = foreign.createDataFrame([(1, "one two three\nfour five\nsix"), (2, "seven\neight nine")], "doc_id long, text string")
+    b = foreign.createDataFrame([(1, "one 2 three\nsix\nfour five"), (2, "seven\neight 9\nten")], "doc_id long, text string")
+    blocks = lambda d: tokens.plain_blocks(d).withColumnRenamed("doc_id", "pair_id")
+    out = report.redline_text(compare.compare_merged(blocks(a), blocks(b), CompareOptions(formatting=False)))
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    above = plan[: next(i for i, line in enumerate(plan) if "Generate explode(_m" in line)]
+    assert not [line for line in above if "Exchange" in line]
+    assert sorted((r.pair_id, r.line) for r in out.collect() if "2" in r.line or "9" in r.line or "ten" in r.line) == [
+        (1, "one [-two-][+2+] three"), (2, "[+ten+]"), (2, "eight [-nine-][+9+]")]
