@@ -116,13 +116,14 @@ def _(t: Tables) -> DataFrame:
 
 def chg(t: Tables) -> DataFrame:
     """changes of one pair per supplier, with decisions from the line items."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    # named before the window: rows hashed on a column are not known to be hashed on its copy
+    w = Window.partitionBy("pair_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     pk = F.col("l_partkey")
     kind = F.element_at(F.array(*[F.lit(k) for k in ("del", "ins", "mod", "fmt", "move")]), (pk % 5 + 1).cast("int"))
     before = F.concat(F.lit("fee "), (F.col("l_quantity").cast("int") % 4).cast("string"))
     after = F.concat(F.lit("liability "), (pk % 3).cast("string"))
-    return t.lineitem.select(
-        F.col("l_suppkey").alias("pair_id"), F.row_number().over(w).alias("cid"),
+    return t.lineitem.withColumnRenamed("l_suppkey", "pair_id").select(
+        "pair_id", F.row_number().over(w).alias("cid"),
         F.when(F.col("l_linenumber") == 7, "footnote").otherwise("body").alias("sec"), kind.alias("kind"),
         F.when(kind == "ins", "").otherwise(before).alias("before"), F.when(kind.isin("ins", "mod"), after).otherwise("").alias("after"),
         F.when(F.col("l_linenumber") % 4 > 0, F.concat(F.lit("Section "), (F.col("l_orderkey") % 4).cast("string"))).alias("clause"),

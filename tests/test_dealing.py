@@ -1,5 +1,6 @@
 """Tokens and list definitions stay where they are: what is shuffled is the text they come from."""
 
+import datetime
 import re
 
 import duckdb
@@ -124,3 +125,16 @@ def test_tokens_of_changed_rows_stay_with_their_row(foreign):
     assert not [line for line in above if "Exchange" in line]
     assert sorted((r.pair_id, r.line) for r in out.collect() if "2" in r.line or "9" in r.line or "ten" in r.line) == [
         (1, "one [-two-][+2+] three"), (2, "[+ten+]"), (2, "eight [-nine-][+9+]")]
+
+
+def test_lines_of_a_summary_stay_with_their_pair(foreign, tmp_path):
+    """The changes are numbered where their pair lies, and what is made of them is joined and put together there."""
+    items = [(i, i % 7 + 1, i * 5, i % 3, 10.0 + i, float(i % 9), "ARN"[i % 3], 0.01 * (i % 8), datetime.datetime(2026, 1, 1 + i % 28)) for i in range(60)]
+    kinds = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string, l_tax double, l_shipdate timestamp"
+    foreign.createDataFrame(items, kinds).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["snk1_summary_markdown"](Tables(foreign, str(tmp_path)))
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    union = next(i for i, line in enumerate(plan) if "Union" in line)
+    assert not [line for line in plan[:union] if "Exchange" in line]
+    rows = {r.pair_id: r.summary for r in df.collect()}
+    assert set(rows) == {0, 1, 2} and all("- 20 differences in the compared range" in s and "\n20. **" in s for s in rows.values())
